@@ -28,8 +28,9 @@ from .quality import LinearModel
 BITS = 20
 ORDERS = (3, 4, 5)
 MIN_TEXTS = 3
-SCALE = 0.1
-EPOCHS = 3
+SCALE = 0.3
+EPOCHS = 4
+TOXIC_WEIGHT = 4.0
 
 
 def _distinct_grams(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -58,7 +59,7 @@ def fit_toxicity_model(sample: pa.Table, epochs: int = EPOCHS) -> LinearModel:
     ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (len(labels) - n_toxic + 2))
     ratio[toxic + clean < MIN_TEXTS] = 0
     scaled = [((own := at[ratio[at] != 0]), ratio[own] * SCALE) for at in rows]
-    weights, intercept = Ftrl(BITS, alpha=0.1, l1=0.02).fit(scaled, labels, epochs)
+    weights, intercept = Ftrl(BITS, alpha=0.5, l1=0.1).fit(scaled, labels, epochs, TOXIC_WEIGHT)
     return LinearModel((weights * ratio * SCALE).astype(np.float32), intercept)
 
 
