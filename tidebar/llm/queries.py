@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out_fold
 from .language import identify_language
+from .neardup import near_duplicates
 from .quality import score_quality
 from .store import Workspace, read_table
 from .tokencount import count_tokens
@@ -40,5 +41,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, read_table(spark, sf_dir, "labels"), held_out, keep=["doc_id", "held_out"])
 
 
-QUERIES = {q.__name__: q for q in (op2_token_counts, op4_language_id, op5_quality, op6_toxicity)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+
+
+QUERIES = {q.__name__: q for q in (op2_token_counts, op4_language_id, op5_quality, op6_toxicity, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}

@@ -115,10 +115,10 @@ def shingles(tokens: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     long = np.repeat(whole, own)
     out[long] = acc[inside[long]]
     for d in np.flatnonzero(~whole & (count > 0)):
-        x = _U(count[d])
+        x = np.array([count[d]], np.uint64)
         for i in range(first[d], first[d + 1]):
-            x = mix(np.array([x * _U(0xD6E8FEB86659FD93) + h[i]], np.uint64))[0]
-        out[start[d]] = x
+            x = mix(x * _U(0xD6E8FEB86659FD93) + h[i : i + 1])
+        out[start[d]] = x[0]
     return out, start
 
 
