@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .labelled import held_out_fold
 from .language import identify_language
 from .neardup import near_duplicates
@@ -17,6 +18,34 @@ from .toxicity import score_toxicity
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP1_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+starts AS (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, s, s + 9), ' ') AS win FROM starts),
+sizes AS (SELECT DISTINCT n FROM win),
+place AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc, sizes WHERE len(w) >= n),
+hit AS (SELECT p.r, p.s, p.n, win.item FROM (SELECT r, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win FROM place) p JOIN win ON win.win = p.win AND win.n = p.n),
+hit_word AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS k FROM hit) GROUP BY r),
+hit_item AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_word USING (r) LEFT JOIN hit_item USING (r)
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path(TOKENIZER), Workspace(spark, "op2").path("cache"), keep=["doc_id"])
@@ -45,5 +74,5 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
 
 
-QUERIES = {q.__name__: q for q in (op2_token_counts, op4_language_id, op5_quality, op6_toxicity, op9_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_token_counts, op4_language_id, op5_quality, op6_toxicity, op9_near_duplicates)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
