@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .labelled import held_out_fold
 from .language import identify_language
+from .linededup import drop_repeated_lines
+from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import score_quality
 from .store import Workspace, read_table
@@ -70,9 +72,83 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, read_table(spark, sf_dir, "labels"), held_out, keep=["doc_id", "held_out"])
 
 
+def mix_of(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Documents mixed by domain (a quarter of the sources each, by the source's digest),
+    language and source; half of the tokens, two epochs at most."""
+    domain = F.concat(F.lit("d"), (F.ascii(F.md5("source")) % 4).cast("string"))
+    levels = [("domain", domain), ("lang", F.col("lang")), ("source", F.col("source"))]
+    by_domain = F.when(F.col("domain") == "d0", 4).when(F.col("domain") == "d1", 3).when(F.col("domain") == "d2", 2).otherwise(1)
+    by_lang = F.when(F.col("lang") == "en", 2).otherwise(3)
+    return mix_sources(docs, levels, [by_domain, by_lang, F.lit(1)], budget_share=0.5, epochs=2, seed=7, keep=keep)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_of(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["doc_id"])
+
+
+OP7_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, coalesce('d' || (ascii(md5(source)) % 4), '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, md5(text) AS digest
+  FROM documents),
+used AS (SELECT * FROM counted WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS total, CAST(sum(n_tokens) * 2 AS BIGINT) AS c FROM used GROUP BY ALL),
+g0 AS (SELECT least(coalesce(sum(c), 0), CAST(floor(coalesce(sum(total), 0) * 0.5) AS BIGINT)) AS given FROM leaf),
+n1 AS (SELECT domain, sum(c) AS c, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY ALL),
+o1 AS (
+  SELECT n.*, given, coalesce(sum(c) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb, coalesce(sum(w) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb, sum(w) OVER () AS ws
+  FROM n1 n CROSS JOIN g0 WINDOW b AS (ORDER BY c / w, domain)),
+f1 AS (SELECT *, c * (ws - wb) <= w * (given - cb) AS is_full FROM o1),
+s1 AS (SELECT *, sum(CASE WHEN is_full THEN c ELSE 0 END) OVER () AS cf, sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () AS wf FROM f1),
+g1 AS (SELECT domain, CASE WHEN is_full THEN c ELSE w * (given - cf) // nullif(wf, 0) END AS given FROM s1),
+n2 AS (SELECT domain, lang, sum(c) AS c, CASE lang WHEN 'en' THEN 2 ELSE 3 END AS w FROM leaf GROUP BY ALL),
+o2 AS (
+  SELECT n.*, given, coalesce(sum(c) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb, coalesce(sum(w) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb, sum(w) OVER (PARTITION BY domain ) AS ws
+  FROM n2 n JOIN g1 USING (domain) WINDOW b AS (PARTITION BY domain ORDER BY c / w, lang)),
+f2 AS (SELECT *, c * (ws - wb) <= w * (given - cb) AS is_full FROM o2),
+s2 AS (SELECT *, sum(CASE WHEN is_full THEN c ELSE 0 END) OVER (PARTITION BY domain ) AS cf, sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY domain ) AS wf FROM f2),
+g2 AS (SELECT domain, lang, CASE WHEN is_full THEN c ELSE w * (given - cf) // nullif(wf, 0) END AS given FROM s2),
+n3 AS (SELECT domain, lang, source, sum(c) AS c, 1 AS w FROM leaf GROUP BY ALL),
+o3 AS (
+  SELECT n.*, given, coalesce(sum(c) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb, coalesce(sum(w) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb, sum(w) OVER (PARTITION BY domain, lang ) AS ws
+  FROM n3 n JOIN g2 USING (domain, lang) WINDOW b AS (PARTITION BY domain, lang ORDER BY c / w, source)),
+f3 AS (SELECT *, c * (ws - wb) <= w * (given - cb) AS is_full FROM o3),
+s3 AS (SELECT *, sum(CASE WHEN is_full THEN c ELSE 0 END) OVER (PARTITION BY domain, lang ) AS cf, sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY domain, lang ) AS wf FROM f3),
+g3 AS (SELECT domain, lang, source, CASE WHEN is_full THEN c ELSE w * (given - cf) // nullif(wf, 0) END AS given FROM s3),
+plan AS (SELECT domain, lang, source, CAST(given AS BIGINT) AS leaf_budget, CAST(given // total AS INTEGER) AS whole, CAST(given % total AS BIGINT) AS rest FROM g3 JOIN leaf USING (domain, lang, source)),
+placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', '7', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''), digest)) ROWS UNBOUNDED PRECEDING) AS upto
+  FROM used JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, whole AS epoch, leaf_budget FROM placed WHERE upto <= rest
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, whole)) AS INTEGER) AS epoch, leaf_budget FROM placed
+"""
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+OP8_SQL = r"""
+WITH doc AS (SELECT doc_id, text, md5(text) AS digest, string_split(text, chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, digest, unnest(range(0, len(lines))) AS i, trim(unnest(lines), ' ') AS t FROM (SELECT DISTINCT doc_id, digest, lines FROM doc WHERE text IS NOT NULL)),
+win AS (
+  SELECT doc_id, digest, i AS first, lead(i, 2) OVER w AS last, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS win
+  FROM line WHERE t <> '' WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, digest, first) AS k FROM win WHERE last IS NOT NULL),
+covered AS (SELECT DISTINCT doc_id, digest, unnest(range(first, last + 1)) AS i FROM ranked WHERE k > 1),
+cut AS (SELECT doc_id, digest, list(i) AS gone FROM covered GROUP BY doc_id, digest)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       CASE WHEN gone IS NULL THEN d.digest
+            ELSE md5(coalesce(array_to_string(list_filter(list_transform(range(0, len(lines)), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE lines[i + 1] END), lambda x: x IS NOT NULL), chr(10)), '')) END AS text_md5
+FROM doc d LEFT JOIN cut c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.digest = c.digest
+"""
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_token_counts, op4_language_id, op5_quality, op6_toxicity, op9_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_token_counts, op4_language_id, op5_quality, op6_toxicity, op7_mixing, op8_line_dedup, op9_near_duplicates)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
