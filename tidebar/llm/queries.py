@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .labelled import held_out_fold
 from .language import identify_language
+from .licenses import scan_licenses
 from .linededup import drop_repeated_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .neighbours import nearest
 from .quality import score_quality
 from .store import Workspace, read_table
 from .tokencount import count_tokens
@@ -54,6 +56,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = held_out_fold("doc_id", 4, 2)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
@@ -150,5 +156,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_token_counts, op4_language_id, op5_quality, op6_toxicity, op7_mixing, op8_line_dedup, op9_near_duplicates)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    spans = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x.license, x.start.cast("string"), x.stop.cast("string"))), ",")
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_max(F.col("licenses.coverage")).alias("best_coverage"), spans.alias("matches"), "licensed")
+
+
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_token_counts, op3_nearest_neighbours, op4_language_id, op5_quality, op6_toxicity, op7_mixing, op8_line_dedup, op9_near_duplicates, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
