@@ -11,7 +11,7 @@ are compared word for word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
@@ -21,7 +21,6 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows are broadcast up to this many (about 200 bytes each); beyond it they
 #: are joined by a shuffle.
 MOST_BROADCAST = 200_000
-#: A window's hash names it in the shuffled hits.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,19 +53,9 @@ def _places(words: DataFrame, singles: bool) -> DataFrame:
     return pairs.withColumn("key", F.explode(F.array(key, _pair_key(F.col("pair.w"), F.lit(None).cast("string"))))).drop("pair")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words long, n_hit long, n_items long, items array<string>,
-    spans array<struct<start, stop>>), a row for each row of ``docs``.
-
-    n_hit: words inside any occurrence of a window; spans: merged runs of hit
-    words (from 0, stop excluded); items: ids of items with an occurring window,
-    sorted as strings. Null, empty and wordless texts have no words and no hits;
-    an item without words has no window. Items of a null id make hits but aren't
-    counted or listed; rows that repeat an item id are one item. Rows that
-    repeat both id and text get the same result each. An empty benchmark gives
-    no hits. Other columns of either table are ignored."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "decontaminate")
+def _hit_documents(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(id, digest, n_hit, spans, items) of documents with hits, named by id and text."""
+    work = Workspace(docs.sparkSession, "decontaminate")
     owned = _windows(benchmark, item_col, item_text_col, window).withColumn("window", F.sha2(F.array_join("win", " "), 256))
     owned = work.materialize(owned.distinct(), "windows")
     distinct = owned.groupBy("window").agg(F.first("win").alias("win"))
@@ -91,8 +80,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     hits = work.materialize(hits.select("id", "digest", "window", start.alias("start"), (start + size).alias("stop")), "hits")
 
     document = ["id", "digest"]
-    from pyspark.sql.window import Window
-
     before = Window.partitionBy(*document).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select(*document, "start", "stop").distinct().withColumn("fresh", F.coalesce(F.max("stop").over(before) < F.col("start"), F.lit(True)))
     upto = Window.partitionBy(*document).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,8 +88,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     items = hits.select(*document, "window").distinct().join(owned.where(F.col("item").isNotNull()).select("window", "item"), "window")
     items = items.groupBy(*document).agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = found.join(items, (found.id.eqNullSafe(items.id)) & (found.digest == items.digest), "left").select(found.id, found.digest, "n_hit", "spans", "items")
-    found = work.materialize(found, "found")
+    return work.materialize(found, "found")
+
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words long, n_hit long, n_items long, items array<string>,
+    spans array<struct<start, stop>>), a row for each row of ``docs``.
+
+    n_hit: words inside any occurrence of a window; spans: merged runs of hit
+    words (from 0, stop excluded); items: ids of items with an occurring window,
+    sorted as strings. Null, empty and wordless texts have no words and no hits;
+    an item without words has no window. Items of a null id make hits but aren't
+    counted or listed; rows that repeat an item id are one item. Rows that
+    repeat both id and text get the same result each. An empty benchmark gives
+    no hits. Other columns of either table are ignored."""
+    found = _hit_documents(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("digest"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     joined = rows.join(found, (rows.digest == found.digest) & rows.id.eqNullSafe(found.id), "left")
     none = F.array().cast("array<string>")
@@ -110,3 +110,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         rows.id.alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a window; the cases are those of ``contamination``."""
+    found = _hit_documents(docs, benchmark, window, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(F.col(text_col)) == F.col("__digest")), "left_anti")

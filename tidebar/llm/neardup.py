@@ -246,18 +246,8 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles long, component_id, kept boolean), a row for each row of ``docs``.
-
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a
-    text of fewer than ``shingle`` words, but not none, has its whole sequence as
-    its one shingle. Texts are linked if 100 * intersection >= ``percent`` *
-    union of their sets. component_id is the smallest id reachable; kept: it is
-    the row's own. A null, empty or blank text has 0 shingles, no link, and is
-    kept under its own id. A null id takes part through its text but names no
-    component; a component of null ids alone has a null component_id and all its
-    rows are kept. Rows that repeat an id are each linked by their own text;
-    copies of a row are kept alike. Other columns of ``docs`` are ignored."""
+def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, row_key, n_shingles, component_id, kept)."""
     spark, threshold = docs.sparkSession, percent / 100
     work = Workspace(spark, "neardup")
     sketch = work.materialize(sketch_documents(docs, id_col, text_col, shingle), "sketch")
@@ -295,12 +285,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if not late.isEmpty():
         found = connected_components(links, work, "last")
 
-    rows = sketch.select("id", "n_shingles", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    rows = work.materialize(rows.select("id", "n_shingles", "component"), "rows")
+    rows = sketch.select("id", "row_key", "n_shingles", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    rows = work.materialize(rows.select("id", "row_key", "n_shingles", "component"), "rows")
     names = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    named = rows.join(names, "component", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = rows.join(names, "component", "left").select("id", "row_key", "n_shingles", own.alias("component_id"))
     work.drop("classes", "members", "active", "sets", "labelled")
-    return named.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+    return named.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles long, component_id, kept boolean), a row for each row of ``docs``.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a
+    text of fewer than ``shingle`` words, but not none, has its whole sequence as
+    its one shingle. Texts are linked if 100 * intersection >= ``percent`` *
+    union of their sets. component_id is the smallest id reachable; kept: it is
+    the row's own. A null, empty or blank text has 0 shingles, no link, and is
+    kept under its own id. A null id takes part through its text but names no
+    component; a component of null ids alone has a null component_id and all its
+    rows are kept. Rows that repeat an id are each linked by their own text;
+    copies of a row are kept alike. Other columns of ``docs`` are ignored."""
+    found = _classified(docs, shingle, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` doesn't keep."""
+    gone = _classified(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("row_key").alias("__row_key")).distinct()
+    return docs.join(gone, F.xxhash64(id_col, text_col) == F.col("__row_key"), "left_anti")
 
 
 def _sets_batch(texts: pa.Array, shingle: int) -> list[pa.Array]:
