@@ -22,18 +22,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node without one: nothing is left to join."""
+    down = edges.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n"))
+    return down.join(edges.select(F.col("u").alias("v"), F.lit(1).alias("inner")).distinct(), "v", "left").where("n > 1 or inner = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (u, v), component being the
     smallest node reachable. Loops and repeated edges do no harm; nodes and
     edges are never gathered in one place, and a node with very many edges is
     reduced by partial minima. An empty table gives an empty one."""
     now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, step, before = work.materialize(now, f"{name}-0"), 0, None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before, step = mark, step + 1
+    now, step = work.materialize(now, f"{name}-0"), 0
+    while not _stars(now):
+        step += 1
         now = work.materialize(_small_star(_large_star(now)), f"{name}-{step}")
         work.drop(f"{name}-{step - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

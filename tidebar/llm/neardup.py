@@ -11,9 +11,8 @@ probability near the Jaccard similarity. Then:
 3. each class tries the centres of its buckets that the likelihood estimate
    rates highest; exact comparison of the full sets confirms links, and links
    make components;
-4. in buckets that still hold several components, every pair across components
-   is estimated, in blocks of at most BLOCK classes, and those whose estimate
-   doesn't exclude the threshold are compared exactly.
+4. components that still share a bucket are compared class by class, in blocks of
+   at most BLOCK classes: registers rule pairs out, the rest is compared exactly.
 
 Pairs within a component aren't compared again: they can't change it. No bucket
 is capped, and no group's pairs are emitted.
@@ -28,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from . import textgrams as T
 from .arrowmap import append_from_text
@@ -180,70 +179,90 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) across components within a bucket that the estimate doesn't
-    exclude. members: (key, sid, component, n_shingles, registers), whole
-    buckets of several components. The bucket's largest component is compared
-    with the others, and these among themselves, in tasks of at most two blocks."""
+def _across(members: DataFrame) -> DataFrame:
+    """(task, side, within, sid, component): what is compared between components
+    that share a bucket.
+
+    members: (key, sid, component), whole buckets of several components. A
+    bucket's largest component is its hub. For each hub, its classes in such
+    buckets and the others' (the minors) are dealt out in blocks; every minor is
+    compared with the hub's classes and with the other minors, a task having two
+    blocks at most. Registers that differ too much rule a pair out; the rest is
+    compared exactly, likeliest first, until the two components are joined."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    stats = sizes.groupBy("key").agg(F.max_by("component", "n").alias("major"), F.max("n").alias("n_major"), (F.sum("n") - F.max("n")).alias("n_minor"))
-    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
-    stats = stats.select("key", "major", blocks("n_major").alias("majors"), blocks("n_minor").alias("minors"))
-    spread = F.pmod(F.xxhash64("sid"), F.when(F.col("component") == F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
-    rows = members.join(stats, "key").withColumn("block", spread).withColumn("minor", F.col("component") != F.col("major"))
+    hubs = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("hub"))
+    rows = members.join(hubs, "key").select("hub", "sid", "component").distinct().withColumn("minor", F.col("component") != F.col("hub"))
+    blocks = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.lit(1)).cast("int")
+    stats = rows.groupBy("hub").agg(blocks(~F.col("minor")).alias("majors"), blocks(F.col("minor")).alias("minors"))
+    block = F.pmod(F.xxhash64("sid"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    rows = rows.join(stats, "hub").withColumn("block", block)
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    block = F.col("block")
-    tasks = F.when(~F.col("minor"), F.transform(upto("minors"), lambda i: task(0, i, block))).otherwise(
-        F.concat(F.transform(upto("majors"), lambda j: task(0, block, j)), F.transform(upto("minors"), lambda i: task(1, F.least(i, block), F.greatest(i, block))))
+    own = F.col("block")
+    tasks = F.when(~F.col("minor"), F.transform(upto("minors"), lambda i: task(0, i, own))).otherwise(
+        F.concat(F.transform(upto("majors"), lambda j: task(0, own, j)), F.transform(upto("minors"), lambda i: task(1, F.least(i, own), F.greatest(i, own))))
     )
-    dealt = rows.withColumn("task", F.explode(tasks)).select(F.xxhash64("key", "task").alias("task"), F.col("task.kind").alias("kind"), F.col("minor"), "sid", "component", "n_shingles", "registers")
-    ordered = dealt.repartition(F.col("task")).sortWithinPartitions("task")
-
-    def compare(batch: pa.RecordBatch) -> tuple[list, list]:
-        kind, minor, n = batch.column(1)[0].as_py(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(5).to_numpy()
-        sid, comp, regs = np.array(batch.column(3).to_pylist(), object), np.unique(np.array(batch.column(4).to_pylist(), object), return_inverse=True)[1], _matrix(batch.column(6))
-        out: tuple[list, list] = ([], [])
-        left = np.flatnonzero(minor)
+    dealt = rows.withColumn("task", F.explode(tasks))
+    side = F.when(F.col("task.kind") == 0, F.col("minor").cast("int")).otherwise((F.col("block") == F.col("task.i")).cast("int"))
+    within = (F.col("task.kind") == 1) & (F.col("task.i") == F.col("task.j"))
+    return dealt.select(F.xxhash64("hub", "task").alias("task"), side.alias("side"), within.alias("within"), "sid", "component")
+
+
+def _joining(dealt: DataFrame, classes: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """The linked pairs of ``_across``'s tasks. classes: (sid, registers, hashes)."""
+    least_equal = REGISTERS * (threshold - MARGIN - 0.01)
+
+    def compare(batch: pa.RecordBatch) -> tuple[list[int], list[int]]:
+        regs = _matrix(batch.column(5))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)]
+        n = np.array([len(x) for x in sets])
+        comp = np.unique(np.array(batch.column(4).to_pylist(), object), return_inverse=True)[1]
+        side, within = batch.column(1).to_numpy(), batch.column(2)[0].as_py()
+        out: tuple[list[int], list[int]] = ([], [])
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         for x in left:
-            others = np.flatnonzero(~minor) if kind == 0 else left[left > x]
+            others = left[left > x] if within else right
             others = others[(comp[others] != comp[x]) & (np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x]) - 1e-9)]
-            others = others[(regs[others] == regs[x]).sum(axis=1) >= REGISTERS * max(0.0, threshold - 2 * MARGIN)] if len(others) else others
-            if len(others):
-                j = estimate_jaccard(np.broadcast_to(regs[x], (len(others), REGISTERS)), regs[others], np.full(len(others), n[x]), n[others])
-                for y in others[j >= threshold - MARGIN]:
-                    out[0].append(max(sid[x], sid[y]))
-                    out[1].append(min(sid[x], sid[y]))
+            if not len(others):
+                continue
+            equal = (regs[others] == regs[x]).sum(axis=1)
+            for y in others[equal >= least_equal][np.argsort(-equal[equal >= least_equal], kind="stable")]:
+                if comp[y] == comp[x]:
+                    continue
+                common = n[x] + n[y] - len(np.union1d(sets[x], sets[y]))
+                if 100 * common >= percent * (n[x] + n[y] - common):
+                    comp[comp == comp[y]] = comp[x]
+                    out[0].append(x)
+                    out[1].append(y)
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            rest = yield from _groups(table, False)
-        if rest is not None:
-            yield from _groups(rest, True)
-
-    def _groups(table: pa.Table, last: bool):
-        whole = table.combine_chunks().to_batches()
-        if not whole:
-            return None
-        batch = whole[0]
+    def groups(table: pa.Table, last: bool):
+        batch = table.combine_chunks().to_batches()[0]
         keys = batch.column(0).to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         upto = len(cuts) - 1 if last else len(cuts) - 2
-        a: list[bytes] = []
-        b: list[bytes] = []
+        x, y = [], []
         for s, e in zip(cuts[:upto], cuts[1 : upto + 1], strict=True):
             if e - s > 1:
-                x, y = compare(batch.slice(s, e - s))
-                a += x
-                b += y
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                i, j = compare(batch.slice(s, e - s))
+                x += [s + v for v in i]
+                y += [s + v for v in j]
+        if x:
+            pairs = list(zip(*(batch.column(3).take(pa.array(v)).to_pylist() for v in (x, y)), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in pairs], pa.binary()) for f in (max, min)], names=["a", "b"])
         return None if last else pa.Table.from_batches([batch.slice(cuts[upto])])
 
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if len(batch):
+                table = pa.Table.from_batches([batch])
+                rest = yield from groups(table if rest is None else pa.concat_tables([rest, table]), False)
+        if rest is not None and len(rest):
+            yield from groups(rest, True)
+
+    whole = dealt.join(classes, "sid").select("task", "side", "within", "sid", "component", "registers", "hashes")
+    return whole.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -278,19 +297,23 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     labelled = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
     labelled = work.materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    open_ = labelled.join(mixed, "key").join(active.select("sid", "n_shingles", "registers"), "sid")
-    rest = _across(open_, threshold).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    late = work.materialize(_confirmed(rest, sets, percent).where("linked"), "late")
-    links = tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).union(late.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    dealt = work.materialize(_across(labelled.join(mixed, "key")), "dealt")
+    late = work.materialize(_joining(dealt, active.select("sid", "registers").join(sets, "sid"), threshold, percent), "late")
     if not late.isEmpty():
-        found = connected_components(links, work, "last")
+        named = found.withColumnRenamed("component", "c")
+        ends = [named.select(F.col("node").alias(x), F.col("c").alias(c)) for x, c in (("a", "u"), ("b", "v"))]
+        joins = late.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
+        merged = connected_components(joins, work, "last")
+        merged = work.materialize(merged.withColumnRenamed("component", "to"), "merged")
+        old = found.union(merged.join(found.select(F.col("component").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component")))
+        found = old.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
     rows = sketch.select("id", "row_key", "n_shingles", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     rows = work.materialize(rows.select("id", "row_key", "n_shingles", "component"), "rows")
     names = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
     named = rows.join(names, "component", "left").select("id", "row_key", "n_shingles", own.alias("component_id"))
-    work.drop("classes", "members", "active", "sets", "labelled")
+    work.drop("classes", "members", "active", "sets", "labelled", "dealt")
     return named.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
