@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 
@@ -16,15 +18,14 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, positive_weight: float = 1.0, seed: int = 0) -> tuple[np.ndarray, float]:
+    def fit(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, positive_weight: float = 1.0, seed: int = 0) -> tuple[np.ndarray, float]:
         """Weights (float32) and intercept. ``rows``: distinct indexes and values;
         rows of label 1 count ``positive_weight`` times."""
         bias = len(self.z) - 1
         order = np.random.default_rng(seed)
-        padded = [(np.append(at, bias), np.append(x, 1.0)) for at, x in rows]
         for _ in range(epochs):
-            for i in order.permutation(len(padded)):
-                at, x = padded[i]
+            for i in order.permutation(len(rows)):
+                at, x = np.append(rows[i][0], bias), np.append(rows[i][1], 1.0)
                 w = self.weights(at)
                 g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - labels[i]) * (positive_weight if labels[i] > 0 else 1.0) * x
                 n = self.n[at]

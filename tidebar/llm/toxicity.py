@@ -12,7 +12,7 @@ made distinct.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,13 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField
 from . import textgrams as T
 from .arrowmap import append_from_text
 from .ftrl import Ftrl, logistic
-from .labelled import MOST_BYTES, MOST_ROWS, labelled_sample
+from .labelled import labelled_sample
 from .quality import LinearModel
 
+#: Bounds of the training sample, about: its distinct grams are held on the driver.
+MOST_ROWS = 8_000
+MOST_BYTES = 24_000_000
+
 BITS = 20
 ORDERS = (3, 4, 5)
 MIN_TEXTS = 3
@@ -48,6 +52,22 @@ def _distinct_grams(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterat
             yield np.unique(np.concatenate([g[f[d] : f[d + 1]] for g, f in runs]))
 
 
+class _Scaled(Sequence):
+    """Rows of distinct grams with their values; only the grams are held."""
+
+    def __init__(self, rows: list[np.ndarray], values: np.ndarray):
+        self.values = values
+        self.rows = rows
+        for i, at in enumerate(rows):
+            rows[i] = at[values[at] != 0]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i):
+        return self.rows[i], self.values[self.rows[i]]
+
+
 def fit_toxicity_model(sample: pa.Table, epochs: int = EPOCHS) -> LinearModel:
     """Weights already scaled by the log-count ratios."""
     labels = np.array(sample["label"].to_pylist(), float)
@@ -58,8 +78,7 @@ def fit_toxicity_model(sample: pa.Table, epochs: int = EPOCHS) -> LinearModel:
     n_toxic = labels.sum()
     ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (len(labels) - n_toxic + 2))
     ratio[toxic + clean < MIN_TEXTS] = 0
-    scaled = [((own := at[ratio[at] != 0]), ratio[own] * SCALE) for at in rows]
-    weights, intercept = Ftrl(BITS, alpha=0.5, l1=0.1).fit(scaled, labels, epochs, TOXIC_WEIGHT)
+    weights, intercept = Ftrl(BITS, alpha=0.5, l1=0.1).fit(_Scaled(rows, ratio * SCALE), labels, epochs, TOXIC_WEIGHT)
     return LinearModel((weights * ratio * SCALE).astype(np.float32), intercept)
 
 
