@@ -33,7 +33,8 @@ def expected_value(df: DataFrame, bins: DataFrame, prob: str = "prob", side: str
     wild = lambda x, v: x.isNull() | (x == v)
     tiers = [lambda x: wild(x.side, s) & wild(x.regime, g), lambda x: wild(x.side, s), lambda x: wild(x.regime, g), lambda x: F.lit(True)]
     mean = lambda found: F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x.ev) / F.size(found))
-    held = [mean(F.filter("bins", lambda x, t=t: t(x) & (x.a <= p) & (p <= x.b))) for t in tiers]
+    holding = lambda t: lambda x: t(x) & (x.a <= p) & (p <= x.b)
+    held = [mean(F.filter("bins", holding(t))) for t in tiers]
     gap = lambda x: F.abs((x.a + x.b) / 2 - p)
     nearest = []
     for t in tiers:
