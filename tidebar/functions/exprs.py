@@ -109,6 +109,15 @@ def rolling_kurtosis(x, n: int) -> Column:
     return F.when(k >= F.lit(n), (k - 1.0) / ((k - 2.0) * (k - 3.0)) * ((k + 1.0) * F.kurtosis(col(x)).over(rows(n)) + 6.0))
 
 
+def correlation(a: str, b: str, window: WindowSpec | None = None) -> Column:
+    """Pearson's, null where either side is constant (Spark's own divides by zero there)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    c, s, t = parts if window is None else [p.over(window) for p in parts]
+    return ratio(c, s * t)
+
+
 def crosses_over(a: str, b: str) -> Column:
     return flag((lag(a) <= lag(b)) & (F.col(a) > F.col(b)))
 

@@ -179,7 +179,7 @@ def ev_diagnostics(df: DataFrame, ev: str = "ev", realised: str = "future_return
     width = ((high - low) / bins) if low is not None and high > low else 1.0
     number = F.least(F.greatest(F.ceil((F.col(ev) - F.lit(low)) / width) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
     r = F.col(realised)
-    return df.where(F.col(ev).isNotNull() & r.isNotNull()).withColumn("bin", number).groupingSets([[], ["bin"]], "bin").agg(F.count("*").alias("n"), F.avg((r > 0).cast("double")).alias("hit_rate"), F.avg(r).alias("avg_return"), F.percentile(r, F.lit(0.5)).alias("median_return"), F.corr(ev, realised).alias("correlation"))
+    return df.where(F.col(ev).isNotNull() & r.isNotNull()).withColumn("bin", number).groupingSets([[], ["bin"]], "bin").agg(F.count("*").alias("n"), F.avg((r > 0).cast("double")).alias("hit_rate"), F.avg(r).alias("avg_return"), F.percentile(r, F.lit(0.5)).alias("median_return"), E.correlation(ev, realised).alias("correlation"))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -110,7 +110,7 @@ def microstructure(windows: tuple[int, ...] = CONTEXT_WINDOWS) -> dict[str, Colu
             f"signed_vol_imbalance_{n}": ratio(E.total(F.signum(r) * v, n), E.total("volume", n)),
             f"up_vol_ratio_{n}": ratio(E.total(F.when(r > 0, v).otherwise(0.0), n), E.total("volume", n)),
             f"parkinson_vol_{n}": F.sqrt(E.mean(parkinson, n)), f"gk_vol_{n}": F.sqrt(E.mean(E.clip(garman, 0.0), n)), f"yz_vol_{n}": F.sqrt(E.clip(yang, 0.0)),
-            f"return_autocorr_1_{n}": F.when(F.count(pairs).over(E.rows(n)) >= n, F.nanvl(F.corr("ret_1", "ret_lag").over(E.rows(n)), F.lit(None).cast("double"))),
+            f"return_autocorr_1_{n}": F.when(F.count(pairs).over(E.rows(n)) >= n, E.correlation("ret_1", "ret_lag", E.rows(n))),
             f"variance_ratio_{n}_k2": ratio(E.variance("ret_2", n), 2 * E.variance("ret_1", n)),
             f"drawdown_min_{n}": E.lowest("drawdown", n), f"return_min_{n}": E.lowest("ret_1", n),
         }
