@@ -21,7 +21,7 @@ from .arrowmap import append_from_text
 
 K = 3
 W = 3
-#: An alignment may drift this many words from its diagonal, either way.
+#: An alignment may drift from its diagonal, either way, by a quarter of the template's words, this many at most.
 BAND = 8
 MIN_COVERAGE = 0.8
 #: Templates are broadcast; more words than this are refused.
@@ -78,14 +78,16 @@ def build_index(templates: dict[str, str]) -> TemplateIndex:
     return TemplateIndex(names, words, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
 
 
-def align(template: np.ndarray, words: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(matched, first, stop): the most words of ``template`` matched in order
-    within BAND of the diagonal (word place less template place), and the span
-    of places they take, the shortest that ends first."""
+def align(template: np.ndarray, words: np.ndarray, diagonal: int, floor: int = 0) -> tuple[int, int, int]:
+    """(matched, first, stop): the most words of ``template`` matched in order in
+    a band about the diagonal (word place less template place), none before
+    ``floor``, and the span of places they take, the shortest that ends first."""
+    band = min(BAND, max(1, len(template) // 4))
     best: dict[int, tuple[int, int]] = {}  # last place used -> matched, minus-first
     top = (0, 0, 0)
     for i, w in enumerate(template):
-        lo, hi = max(0, i + diagonal - BAND), min(len(words), i + diagonal + BAND + 1)
+        lo = max(floor, i + diagonal - band)
+        hi = max(lo, min(len(words), i + diagonal + band + 1))
         for j in np.flatnonzero(words[lo:hi] == w)[::-1] + lo:
             before = max(((m, f) for last, (m, f) in best.items() if last < j), default=(0, int(j)))
             now = (before[0] + 1, before[1])
@@ -111,20 +113,14 @@ def _scan(words: np.ndarray, index: TemplateIndex, minimum: float) -> list[tuple
             k += 1
     found = []
     for t, diagonals in regions.items():
-        taken, spans = None, set()
-        for d in sorted(diagonals):
-            if taken is not None and d - taken <= BAND // 2:
+        own, end = index.words[t], 0
+        for d in sorted(set(diagonals)):
+            if d + len(own) <= end:
                 continue
-            taken = d
-            own = index.words[t]
-            matched, first, stop = align(own, words, d)
+            matched, first, stop = align(own, words, d, end)
             if matched / len(own) >= minimum:
-                spans.add((t, matched, matched / len(own), first, stop))
-        end = -1
-        for s in sorted(spans, key=lambda s: (s[3], -s[1], s[4])):
-            if s[3] >= end:
-                found.append(s)
-                end = s[4]
+                found.append((t, matched, matched / len(own), first, stop))
+                end = stop
     return sorted(found, key=lambda s: (s[3], s[4], s[0]))
 
 
