@@ -1,6 +1,6 @@
 from tests.test_bars import random_bars, to_spark
 from tidebar.config import FeatureConfig, LabelConfig, SplitConfig
-from tidebar.engine import Models, backtest, histogram_points, infer, labelled_features, train_window, validate_window
+from tidebar.engine import Models, backtest, cross_validate, histogram_points, infer, labelled_features, train_direction, train_window, validate_window
 from tidebar.operators import splits
 from tidebar.operators.models import Forest
 
@@ -19,6 +19,9 @@ def test_train_validate_backtest_infer(spark, tmp_path):
     assert again.columns == models.columns
     a, b = (infer(bars, m, SMALL, rows=3).orderBy("bar_idx").collect() for m in (models, again))
     assert a == b and [r.bar_idx for r in a] == [397, 398, 399]
+    assert train_direction(rows, columns) is None
+    assert train_direction(rows, columns, Forest(4, 3, 32), 50).labels == ["-1", "1"]
+    assert [k for k, _ in cross_validate(rows, columns, "regime", 3, 6, Forest(4, 3, 32))] == [1, 2]
     report = backtest(bars, models, SMALL)
     assert report.curve.count() == 399 and report.metrics.count() == 1
     assert report.breakdown.where("level = 3").first().bars == 399

@@ -74,6 +74,29 @@ def train_window(rows: DataFrame, columns: Sequence[str], forest: M.Forest = M.B
     return Models(list(columns), regime, signal, M.regime_models(fit, list(columns), "blend_label", M.MINIMUM["regime_signal"], forest))
 
 
+def train_direction(rows: DataFrame, columns: Sequence[str], forest: M.Forest = M.BLENDER_FOREST, least: int = M.MINIMUM["direction"]) -> M.Classifier | None:
+    """Long against short, from the bars labelled as a trade; None if they are too few."""
+    trades = rows.where("blend_label <> 0")
+    return M.fit_forest(trades, list(columns), "blend_label", forest, ["-1", "1"]) if trades.count() >= least else None
+
+
+def cross_validate(rows: DataFrame, columns: Sequence[str], label: str, folds: int = 5, gap: int = 12, forest: M.Forest = M.BLENDER_FOREST, least: tuple[int, int] = (10, 5)) -> list[tuple[int, float]]:
+    """(fold, accuracy) over purged folds; folds of too few rows are skipped."""
+    parts = W.purged_folds(rows.where(F.col(label).isNotNull()), folds, gap).persist()
+
+    def one(k: int) -> tuple[int, float] | None:
+        train, test = (parts.where((F.col("fold") == k) & (F.col("part") == p)).drop("fold", "part") for p in ("train", "test"))
+        if train.limit(least[0]).count() < least[0] or test.limit(least[1]).count() < least[1]:
+            return None
+        model = M.fit_forest(train, list(columns), label, forest)
+        return k, M.accuracy(model.predict(test), label, "predicted").first().accuracy
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        found = [r for r in pool.map(one, range(folds)) if r is not None]
+    parts.unpersist()
+    return found
+
+
 def scored(features: DataFrame, models: Models) -> DataFrame:
     """Adds regime (predicted), signal and prob (of the signal's class) and confidence."""
     df = models.regime.probabilities(features, "regime_probs")
