@@ -5,7 +5,9 @@ A text's features are its distinct hashed 3- to 5-grams of lower-cased letters
 (anything else is a blank). Each is scaled by the log ratio of its smoothed
 document counts in toxic and clean training texts; the linear model over the
 scaled features is fitted on the same labelled sample. Grams seen in fewer than
-MIN_TEXTS training texts have ratio 0. Scale and weight are folded into one
+MIN_TEXTS training texts, or as often toxic as chance allows (SIGNIFICANT
+deviations from the share of toxic texts), have ratio 0: else rare grams that
+stand in one training text would be learned by heart. Scale and weight are folded into one
 table for scoring, and grams of weight 0 are dropped before a text's grams are
 made distinct.
 """
@@ -32,6 +34,7 @@ MOST_BYTES = 24_000_000
 BITS = 20
 ORDERS = (3, 4, 5)
 MIN_TEXTS = 3
+SIGNIFICANT = 4.0
 SCALE = 0.3
 EPOCHS = 4
 TOXIC_WEIGHT = 4.0
@@ -77,7 +80,9 @@ def fit_toxicity_model(sample: pa.Table, epochs: int = EPOCHS) -> LinearModel:
         (toxic if y > 0 else clean)[at] += 1
     n_toxic = labels.sum()
     ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (len(labels) - n_toxic + 2))
-    ratio[toxic + clean < MIN_TEXTS] = 0
+    n, share = toxic + clean, n_toxic / max(len(labels), 1)
+    chance = np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+    ratio[(n < MIN_TEXTS) | (np.abs(toxic - n * share) < SIGNIFICANT * chance)] = 0
     weights, intercept = Ftrl(BITS, alpha=0.5, l1=0.1).fit(_Scaled(rows, ratio * SCALE), labels, epochs, TOXIC_WEIGHT)
     return LinearModel((weights * ratio * SCALE).astype(np.float32), intercept)
 
