@@ -323,3 +323,51 @@ _grid = BARS + f", f AS (SELECT *, {', '.join(f'lead(close, {h}) {over()} / null
 Q["grid_labels"] = pick(_grid, "agg", same("mean_return"), keys="symbol, horizon, smoothing, n, n_long, n_short")
 _rank = _grid + ", k AS (SELECT *, row_number() OVER (PARTITION BY horizon, smoothing ORDER BY mean_return) - 1 AS i, count(*) OVER (PARTITION BY horizon, smoothing) AS c FROM agg)"
 Q["grid_report"] = pick(_rank, "k", {"mean": "avg(mean_return)", "median": "quantile_cont(mean_return, 0.5)", "positive_share": "avg(CAST(mean_return > 0 AS INTEGER))", "worst": "min(mean_return)", "best": "max(mean_return)", "trimmed_mean": "avg(mean_return) FILTER (i >= floor(c * 0.05) AND i < floor(c * 0.95))"}, 6, "horizon, smoothing, count(mean_return) AS n", "GROUP BY horizon, smoothing")
+
+
+def cross(a: str, b: str, up: bool = True) -> str:
+    was, now = ("<=", ">") if up else (">=", "<")
+    return f"coalesce(CAST(lag({a}) {over()} {was} lag({b}) {over()} AND {a} {now} {b} AS INTEGER), 0)"
+
+
+_su = envelope((35, 15, 12), (30, 15, 12), (87, 348), 17, 43, "su")
+_sm = f"""{BASE}, {_su}, e AS (SELECT x.symbol, x.ts, x.bar_idx, CASE WHEN volume <> 0 THEN close * volume / volume END AS hull, su.t, su.bo, CASE WHEN x.bar_idx >= 16 THEN a17 * 0.005 END AS dt, CASE WHEN x.bar_idx >= 42 THEN a43 * 0.005 END AS db FROM x JOIN su USING (symbol, bar_idx)),
+f AS (SELECT *, {roll('avg', 't', 20)} AS tm, {roll('avg', 'bo', 18)} AS bm FROM e)"""
+Q["module_superma"] = pick(_sm, "f", {"superma_hull": "hull", "superma_topvector01": "t", "superma_botvector01": "bo", "superma_topvecMA": "tm", "superma_botvecMA": "bm", "superma_decayt": "dt", "superma_decayb": "db", "superma_signal": f"CASE WHEN {cross('hull', 'bm', False)} = 1 THEN -1 WHEN {cross('hull', 'tm')} = 1 THEN 1 ELSE 0 END"}, 5)
+
+_pv = envelope((35, 15, 12), (28, 9, 25), (87, 174), 17, 43, "pv")
+_pm = f"""{BASE}, {_pv}, r AS (SELECT x.symbol, x.ts, x.bar_idx, open, close, CASE WHEN volume <> 0 THEN close * volume / volume END AS hull, pv.t, pv.bo, (close - ({roll('avg', 'close', 23)})) * 10000 AS res FROM x JOIN pv USING (symbol, bar_idx)),
+v AS (SELECT *, CASE WHEN res > 520 AND close > open THEN 1 WHEN res < -520 AND close < open THEN -1 END AS ev, {roll('avg', 't', 20)} AS tm, {roll('avg', 'bo', 18)} AS bm FROM r),
+c AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) {UPTO}, 0) AS sg, (tm + bm) / 2 AS va, {cross('hull', 'tm')} AS up, {cross('hull', 'bm', False)} AS dn FROM v),
+d AS (SELECT *, coalesce(max(CASE WHEN up = 1 THEN bar_idx END) {UPTO}, 0) AS lu, coalesce(max(CASE WHEN dn = 1 THEN bar_idx END) {UPTO}, 0) AS ld, lag(sg) {over()} AS before FROM c),
+g AS (SELECT *, coalesce(CAST(lu <= ld AND before IS DISTINCT FROM 1 AND sg = 1 AND hull > va AS INTEGER), 0) AS fl, coalesce(CAST(ld <= lu AND before IS DISTINCT FROM -1 AND sg = -1 AND hull < va AS INTEGER), 0) AS fs FROM d)"""
+Q["module_pvt"] = pick(_pm, "g", {"pvt_nRes": "res", "pvt_sig_pvt": "sg", "pvt_hull": "hull", "pvt_topvector01": "t", "pvt_botvector01": "bo", "pvt_topvecMA": "tm", "pvt_botvecMA": "bm", "pvt_vecavg": "va", "pvt_finallongcond": "fl", "pvt_finalshortcond": "fs", "pvt_signal": "CASE WHEN fs = 1 THEN -1 WHEN fl = 1 THEN 1 ELSE 0 END"}, 5)
+
+_start, _step = smooth({"e13": ("close", 2 / 14), "e21": ("close", 2 / 22)})
+_start2, _step2 = smooth({"g": ("gain", 1 / 14), "l": ("loss", 1 / 14)})
+_pr = f"""{BASE}, {recursion('e', 'x', _start, _step)}, d AS MATERIALIZED ({_later}), {recursion('q', 'd', _start2, _step2)},
+m AS (SELECT x.symbol, x.ts, x.bar_idx, CASE WHEN x.bar_idx >= 20 THEN e13 - e21 END AS macd,
+             (max(high) OVER dd + min(low) OVER dd + arg_max(close, x.ts) OVER dd) / 3 AS pv, CASE WHEN x.bar_idx >= 14 THEN CASE WHEN q.l = 0 AND q.g > 0 THEN 100 WHEN q.l = 0 THEN NULL ELSE 100 - 100 / (1 + q.g / q.l) END END AS rsi
+      FROM x JOIN e USING (symbol, bar_idx) LEFT JOIN q ON q.symbol = x.symbol AND q.bar_idx = x.bar_idx - 1 WINDOW dd AS (PARTITION BY x.symbol, CAST(x.ts AS DATE))),
+n AS (SELECT *, {roll('avg', 'macd', 8)} AS ms FROM m)"""
+Q["module_pivots_rsi"] = pick(_pr, "n", {"pivots_rsi_macd": "macd", "pivots_rsi_macd_signal": "ms", "pivots_rsi_macd_hist": "macd - ms", "pivots_rsi_pivot": "pv", "pivots_rsi_rsi": "rsi", "pivots_rsi_rsi_overbought": "coalesce(CAST(rsi > 70 AS INTEGER), 0)", "pivots_rsi_rsi_oversold": "coalesce(CAST(rsi < 30 AS INTEGER), 0)"}, 5)
+
+_om = f"""{_vm}, {_mem}, o AS (SELECT x.*, v.y, a.atr, count(*) FILTER (x.close = peak) {UPTO.replace('PARTITION BY symbol ORDER BY ts', 'PARTITION BY x.symbol ORDER BY x.ts')} AS island FROM x JOIN v USING (symbol, bar_idx) JOIN a USING (symbol, bar_idx))"""
+_memory = {"ohlcv_mem_vol": "y", "ohlcv_mem_vol_resid": "ln(nullif(close, 0)) - y", "ohlcv_mem_vol_resid_norm": "(ln(nullif(close, 0)) - y) / nullif(atr / nullif(close, 0), 0)", "ohlcv_mem_vol_slope": f"y - lag(y) {over()}", "ohlcv_drawdown_depth": "drawdown", "ohlcv_drawdown_duration": "row_number() OVER (PARTITION BY symbol, island ORDER BY ts) - 1"}
+Q["module_ohlcv"] = pick(_om, "o", _memory | {f"ohlcv_{k}": v for k, v in _micro.items()}, 5)
+
+_t10 = _triple(10, (10, 6, 3))
+_t8 = _triple(8, (8, 5, 3))
+_tmv = envelope((18, 12, 12), (24, 12, 12), (87, 87), 10, 10, "tm")
+_avg = recursion("av", "w", {"y": "(b.t + b.bo) / 2"}, {"y": f"p.y + {2 / 10!r} * ((b.t + b.bo) / 2 - p.y)"})
+_tmm = f"""{BASE}, {_tmv}, {_t8[0]}, {_t10[0]}, w AS MATERIALIZED (SELECT symbol, bar_idx, t, bo FROM tm), {_avg},
+h AS (SELECT b.symbol, b.ts, b.bar_idx, b.close, b.volume, tm.t, tm.bo, {_t8[2]} AS h8, {_t10[2]} AS h10, CASE WHEN b.bar_idx >= 8 THEN av.y END AS va
+      FROM b JOIN tm ON tm.symbol = b.symbol AND tm.bar_idx = b.bar_idx JOIN av ON av.symbol = b.symbol AND av.bar_idx = b.bar_idx {_t8[1]} {_t10[1]}),
+r AS (SELECT *, coalesce(h10 >= lag(h10) {over()}, FALSE) AS rising, {roll('min', 'close', 3)} AS lo3, {roll('max', 'close', 3)} AS hi3, {div(roll('sum', '(t + close) / 2 * volume', 9), roll('sum', 'volume', 9))} AS ta, {div(roll('sum', '(bo + close) / 2 * volume', 9), roll('sum', 'volume', 9))} AS ba FROM h),
+u AS (SELECT *, coalesce(lag(rising) {over()}, FALSE) AS was, ta * (1 + 0.01 / 100) AS ts_, ba * (1 - 0.055 / 100) AS bs_ FROM r),
+zz AS (SELECT *, last_value(CASE WHEN rising AND NOT was THEN lo3 WHEN NOT rising AND was THEN hi3 END IGNORE NULLS) {UPTO} AS zig FROM u),
+k AS (SELECT *, {cross('zig', 'bs_', False)} AS lr, {cross('zig', 'ts_')} AS sr FROM zz),
+s1 AS (SELECT *, sum(lr) {UPTO} AS nl, sum(sr) {UPTO} AS ns FROM k),
+s2 AS (SELECT *, sum(CASE WHEN sr = 1 THEN 0 ELSE lr END) OVER (PARTITION BY symbol, ns ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sl, sum(sr) OVER (PARTITION BY symbol, nl ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ss FROM s1),
+s3 AS (SELECT *, CASE WHEN lr = 1 AND sl <= 1 THEN 1 ELSE 0 END AS lc, CASE WHEN sr = 1 AND ss <= 1 THEN 1 ELSE 0 END AS sc FROM s2)"""
+Q["module_trendmagic"] = pick(_tmm, "s3", {f"trendmagic_{k}": v for k, v in {"zigzag": "zig", "topvector01": "t", "botvector01": "bo", "price": "close", "hls": "h8", "avg_vec": "va", "topavg": "ta", "botavg": "ba", "topsig": "ts_", "botsig": "bs_", "width": "(ts_ - bs_) / nullif((va + close) / 2, 0)", "long_raw": "lr", "short_raw": "sr", "sectionLongs": "sl", "sectionShorts": "ss", "longCondition": "lc", "shortCondition": "sc", "signal": "CASE WHEN sc = 1 THEN -1 WHEN lc = 1 THEN 1 ELSE 0 END"}.items()}, 5)
