@@ -58,7 +58,7 @@ SIGNALS = (
     + f""",
 averaged AS (SELECT *, {', '.join(f"{roll('avg', 'close', n)} AS sma_{n}" for n in (5, 10, 20, 40))}, percent_rank() OVER (PARTITION BY symbol ORDER BY abs(coalesce(ret_1, 0)), ts) AS pr FROM x),
 sig AS MATERIALIZED (
-  SELECT *, CAST(coalesce(sign(sma_5 - sma_20), 0) AS INTEGER) AS signal, CASE WHEN sma_10 > sma_40 THEN 'trend_up' WHEN sma_10 < sma_40 THEN 'trend_down' ELSE 'chop' END AS regime, 0.5 + 0.5 * pr AS prob
+  SELECT *, CAST(coalesce(sign(round(sma_5 - sma_20, 9)), 0) AS INTEGER) AS signal, CASE WHEN round(sma_10 - sma_40, 9) > 0 THEN 'trend_up' WHEN round(sma_10 - sma_40, 9) < 0 THEN 'trend_down' ELSE 'chop' END AS regime, 0.5 + 0.5 * pr AS prob
   FROM averaged)"""
 )
 
@@ -112,7 +112,7 @@ Q["bar_quality"] = f"WITH {BARS} SELECT symbol, count(*) AS bars, count(*) FILTE
 Q["bars_tail"] = pick(BARS, "b", same("close"), where="QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 24")
 Q["bars_between"] = pick(BARS, "b", same("close"), where="WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'")
 Q["true_range_atr_sma"] = pick(BASE, "x", {"tr": "tr", "atr_14": roll("avg", "tr", 14), "atr_50": roll("avg", "tr", 50)})
-_cross = BASE + f", c AS (SELECT *, {roll('avg', 'close', 5)} AS sma_5, {roll('avg', 'close', 20)} AS sma_20, {div(roll('sum', 'close * volume', 10), roll('sum', 'volume', 10))} AS vwma_10 FROM x)"
+_cross = BASE + f", c AS (SELECT *, round({roll('avg', 'close', 5)}, 9) AS sma_5, round({roll('avg', 'close', 20)}, 9) AS sma_20, {div(roll('sum', 'close * volume', 10), roll('sum', 'volume', 10))} AS vwma_10 FROM x)"
 Q["sma_vwma_cross"] = pick(_cross, "c", same("sma_5", "sma_20", "vwma_10") | {"over": f"coalesce(CAST(lag(sma_5) {over()} <= lag(sma_20) {over()} AND sma_5 > sma_20 AS INTEGER), 0)", "under": f"coalesce(CAST(lag(sma_5) {over()} >= lag(sma_20) {over()} AND sma_5 < sma_20 AS INTEGER), 0)"})
 
 _start, _step = smooth({"ema_12": ("close", 2 / 13), "ema_26": ("close", 2 / 27)})

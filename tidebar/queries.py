@@ -88,7 +88,7 @@ def true_range_atr_sma(spark, sf_dir):
 
 @query
 def sma_vwma_cross(spark, sf_dir):
-    df = base(spark, sf_dir).withColumns({"sma_5": E.mean("close", 5), "sma_20": E.mean("close", 20), "vwma_10": E.weighted_mean("close", "volume", 10)})
+    df = base(spark, sf_dir).withColumns({"sma_5": F.round(E.mean("close", 5), 9), "sma_20": F.round(E.mean("close", 20), 9), "vwma_10": E.weighted_mean("close", "volume", 10)})
     return of_bars(df, {"sma_5": F.col("sma_5"), "sma_20": F.col("sma_20"), "vwma_10": F.col("vwma_10"), "over": E.crosses_over("sma_5", "sma_20"), "under": E.crosses_under("sma_5", "sma_20")})
 
 
@@ -183,7 +183,7 @@ def drawdown_islands(spark, sf_dir):
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with an SMA-cross signal, a rule's regime and a probability by rank of the last move."""
     df = base(spark, sf_dir).withColumns({"sma_5": E.mean("close", 5), "sma_10": E.mean("close", 10), "sma_20": E.mean("close", 20), "sma_40": E.mean("close", 40)})
-    gap, trend = F.col("sma_5") - F.col("sma_20"), F.col("sma_10") - F.col("sma_40")
+    gap, trend = F.round(F.col("sma_5") - F.col("sma_20"), 9), F.round(F.col("sma_10") - F.col("sma_40"), 9)
     regime = F.when(trend > 0, "trend_up").when(trend < 0, "trend_down").otherwise("chop")
     rank = F.percent_rank().over(Window.partitionBy("symbol").orderBy(F.abs(F.coalesce("ret_1", F.lit(0.0))), "ts"))
     return df.withColumns({"signal": F.coalesce(F.signum(gap), F.lit(0.0)).cast("int"), "regime": regime, "prob": 0.5 + 0.5 * rank})
