@@ -17,6 +17,11 @@ def held_out_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
+def drawn_share(share: float, id_col: str, name: str) -> Column:
+    """Whether a hash of the id falls into the given share of its range."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(name)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> pa.Table:
     """(text, label) of about ``most_rows`` and ``most_bytes`` at most, in a
     fixed order. ``labels`` (id, label) is joined by id; None: ``docs`` has the
@@ -33,7 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, held_
         rows_known = known.where(~held_out).count()
         size, rows = size * min(1.0, rows_known / max(rows, 1)), min(rows, rows_known)
     share = min(1.0, most_rows / max(rows, 1), most_bytes / max(size, 1))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("labelled sample")), F.lit(1_000_000)) < int(share * 1_000_000 + 0.999)
+    drawn = drawn_share(share, id_col, "labelled sample")
     picked = docs.where(fit & drawn)
     if known is None:
         picked = picked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label).alias("label"))

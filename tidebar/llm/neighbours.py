@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .labelled import drawn_share
 from .store import Workspace
 
 #: Rows of the sample, about; they are drawn by a hash of the id.
@@ -175,7 +176,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == length)
-    drawn = F.pmod(F.xxhash64("id", F.lit("neighbours")), F.lit(1_000_000)) < int(min(1.0, sample_rows / total) * 1_000_000 + 0.999)
+    drawn = drawn_share(min(1.0, sample_rows / total), "id", "neighbours")
     sample = _rows(rows.where(drawn).orderBy("id").select("v").toArrow()["v"].combine_chunks())
     model = spark.sparkContext.broadcast(fit_partitions(sample, total, min(k, max(1, len(sample) - 1)), recall))
 
