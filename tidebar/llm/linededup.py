@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 WINDOW = 3
+#: Covered lines are looked up by a broadcast up to this many documents and
+#: lines (some 16 MB); beyond it they are joined by a shuffle of the texts.
+MOST_DOCUMENTS = 100_000
+MOST_LINES = 1_000_000
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -43,6 +47,9 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     later = found.join(repeated, ["h1", "h2"]).where(place() != F.col("earliest"))
     covered = later.select("id", "digest", F.explode(F.sequence("first", "last")).alias("line")).distinct().groupBy("id", "digest").agg(F.collect_set("line").alias("__covered"))
     covered = work.materialize(covered.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__covered"), "covered")
+    n_documents, n_lines = covered.agg(F.count("*"), F.coalesce(F.sum(F.size("__covered")), F.lit(0))).first()
+    if n_documents <= MOST_DOCUMENTS and n_lines <= MOST_LINES:
+        covered = F.broadcast(covered)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*kept).join(covered, F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(text_col) == F.col("__digest")), "left")
     lines = F.split(F.col(text_col), "\n")

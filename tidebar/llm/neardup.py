@@ -44,7 +44,7 @@ Q = 65534
 MARGIN = 0.16
 CENTRES = 2
 BLOCK = 512
-#: Active classes are looked up by a broadcast below this many (16 bytes each).
+#: Active classes and dropped rows are looked up by a broadcast up to this many (8 to 24 bytes each).
 MOST_BROADCAST = 1_000_000
 
 _draw = np.random.Generator(np.random.PCG64(977))
@@ -336,6 +336,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``near_duplicates`` doesn't keep."""
     gone = _classified(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("row_key").alias("__row_key")).distinct()
+    gone = Workspace(docs.sparkSession, "neardup").materialize(gone, "gone")
+    if gone.count() <= MOST_BROADCAST:  # else the texts are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, F.xxhash64(id_col, text_col) == F.col("__row_key"), "left_anti")
 
 
