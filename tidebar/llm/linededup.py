@@ -44,6 +44,8 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     found = _occurrences(docs, id_col, text_col, window)
     place = lambda: F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("digest").alias("digest"), F.col("first").alias("first"))
     repeated = found.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place()).alias("earliest")).where("n > 1").select("h1", "h2", "earliest")
+    # A written table: Spark splits a hot window's rows only if no aggregate stands between the shuffle and the join.
+    repeated = work.materialize(repeated, "repeated")
     later = found.join(repeated, ["h1", "h2"]).where(place() != F.col("earliest"))
     covered = later.select("id", "digest", F.explode(F.sequence("first", "last")).alias("line")).distinct().groupBy("id", "digest").agg(F.collect_set("line").alias("__covered"))
     covered = work.materialize(covered.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__covered"), "covered")

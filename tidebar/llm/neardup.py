@@ -275,7 +275,8 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     )
     banded = classes.select("sid", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = work.materialize(banded.join(buckets, "key"), "members")
+    # Aggregates are written before they are joined: else Spark can't split a hot key's rows.
+    members = work.materialize(banded.join(work.materialize(buckets, "buckets"), "key"), "members")
     active = work.materialize(classes.join(members.select("sid").distinct(), "sid").select("sid", "row_key", "n_shingles", "registers"), "active")
 
     wanted = active.select("sid", "row_key")
@@ -286,7 +287,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     sets = work.materialize(sets.where("sid = own").select("sid", "hashes").dropDuplicates(["sid"]), "sets")
 
     centres = members.groupBy("key").agg(F.min("sid").alias("b"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid")).alias("other"))
-    stars = members.join(centres, "key")
+    stars = members.join(work.materialize(centres, "centres"), "key")
     stars = stars.select(F.col("sid").alias("a"), "b").union(stars.select(F.col("sid").alias("a"), F.col("other.sid").alias("b"))).where("a != b").distinct()
     rated = _estimated(stars, active, threshold)
     best = rated.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False), 1, CENTRES).alias("best"))  # at most two centres a band
@@ -297,6 +298,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     labelled = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
     labelled = work.materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    mixed = work.materialize(mixed, "mixed")
     dealt = work.materialize(_across(labelled.join(mixed, "key")), "dealt")
     late = work.materialize(_joining(dealt, active.select("sid", "registers").join(sets, "sid"), threshold, percent), "late")
     if not late.isEmpty():
@@ -310,7 +312,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
 
     rows = sketch.select("id", "row_key", "n_shingles", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     rows = work.materialize(rows.select("id", "row_key", "n_shingles", "component"), "rows")
-    names = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    names = work.materialize(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "names")
     own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
     named = rows.join(names, "component", "left").select("id", "row_key", "n_shingles", own.alias("component_id"))
     work.drop("classes", "members", "active", "sets", "labelled", "dealt")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Workspace
+
 #: A tokenizer file is broadcast to the executors; a larger one is refused.
 MOST_TOKENIZER_BYTES = 64 << 20
 #: Texts given to the library in one call.
@@ -100,5 +102,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("__content"))
-    counts = stored().withColumnRenamed("content", "__content")
+    # A written table: Spark splits a hot content's rows only if no aggregate stands between the shuffle and the join.
+    counts = Workspace(spark, "tokencount").materialize(stored().withColumnRenamed("content", "__content"), "counts")
     return rows.join(counts, "__content").select(*(F.col(f"`{c}`") for c in kept), "n_bytes", "n_tokens")
