@@ -155,6 +155,25 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.forall("v", good) & F.exists("v", lambda x: x != 0))
 
 
+def deal_parts(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(part, first task, blocks): small parts share a task of BLOCK_ROWS rows at
+    most, so a query brings one list back from several parts; a part of more
+    rows is split into blocks, a task each."""
+    out, task, room = [], 0, BLOCK_ROWS
+    for part, n in sorted(counts.items()):
+        if n > BLOCK_ROWS:
+            blocks = -(-n // BLOCK_ROWS)
+            task += room < BLOCK_ROWS
+            out.append((part, task, blocks))
+            task, room = task + blocks, BLOCK_ROWS
+            continue
+        if n > room:
+            task, room = task + 1, BLOCK_ROWS
+        out.append((part, task, 1))
+        room -= n
+    return out
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): the ``k`` nearest
     found of each query among the other rows, by largest inner product, ties to
@@ -191,12 +210,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
         return df.mapInArrow(run, "id long, v array<double>, parts array<int>")
 
     indexed = work.materialize(routed(rows, False).select("id", "v", F.col("parts")[0].alias("part")), "index")
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    counts = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}  # at most MOST_PARTS rows
+    dealt = F.broadcast(spark.createDataFrame(deal_parts(counts), "part int, task int, blocks int"))
     queries = _usable(flagged.where("__query"), id_col, vector_col).where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"))
-    asked = routed(queries, True).select("id", "v", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")  # at most MOST_PARTS rows
-    asked = asked.select(F.lit(0).alias("kind"), "id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    held = indexed.join(F.broadcast(blocks), "part").select(F.lit(1).alias("kind"), "id", "v", "part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    both = asked.unionByName(held).withColumn("task", F.xxhash64("part", "block")).select("task", "kind", "id", "v").repartition(F.col("task")).sortWithinPartitions("task", "kind")
+    asked = routed(queries, True).select("id", "v", F.explode("parts").alias("part")).join(dealt, "part")
+    asked = asked.select(F.explode(F.sequence(F.col("task"), F.col("task") + F.col("blocks") - 1)).alias("task"), F.lit(0).alias("kind"), "part", "id", "v")
+    held = indexed.join(dealt, "part").select((F.col("task") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int").alias("task"), F.lit(1).alias("kind"), "part", "id", "v")
+    both = asked.unionByName(held).repartition(F.col("task")).sortWithinPartitions("task", "kind", "part")
 
     def best_of(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray):
         near = q @ x.T
@@ -210,26 +230,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
             out.append((ids[i], keys[at][order], exact[order]))
         return out
 
+    def best_in_task(pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if pool:
+            ids, keys, scores = (np.concatenate(c) for c in zip(*pool, strict=True))
+            order = np.lexsort((keys, -scores, ids))
+            ids = ids[order]
+            first = np.maximum.accumulate(np.where(np.concatenate(([True], ids[1:] != ids[:-1])), np.arange(len(ids)), 0))
+            kept = order[np.arange(len(ids)) - first < k]
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (np.concatenate([p[0] for p in pool]), keys, scores)], names=["query_id", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by task, queries first."""
-        task, held_ids, held_q = None, [], []
+        """Rows come by task, queries first, then by part."""
+        task, held, pool = None, {}, []
         for batch in batches:
-            tasks, kinds, ids = (batch.column(c).to_numpy() for c in range(3))
-            v = _rows(batch.column(3))
-            cuts = np.concatenate(([0], np.flatnonzero(tasks[1:] != tasks[:-1]) + 1, [len(tasks)])) if len(tasks) else [0]
+            if not len(batch):
+                continue
+            tasks, kinds, parts, ids = (batch.column(c).to_numpy() for c in range(4))
+            v = _rows(batch.column(4))
+            change = (tasks[1:] != tasks[:-1]) | (kinds[1:] != kinds[:-1]) | (parts[1:] != parts[:-1])
+            cuts = np.concatenate(([0], np.flatnonzero(change) + 1, [len(tasks)]))
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if tasks[s] != task:
-                    task, held_ids, held_q = tasks[s], [], []
-                query = kinds[s:e] == 0
-                if query.any():
-                    held_ids.append(ids[s:e][query])
-                    held_q.append(v[s:e][query])
-                if query.all() or not held_ids:
-                    continue
-                keys, x, qi, qv = ids[s:e][~query], v[s:e][~query], np.concatenate(held_ids), np.concatenate(held_q)
-                for c in range(0, len(qi), 1024):
-                    found = best_of(qi[c : c + 1024], qv[c : c + 1024], keys, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
+                    yield from best_in_task(pool)
+                    task, held, pool = tasks[s], {}, []
+                if kinds[s] == 0:
+                    held.setdefault(parts[s], []).append((ids[s:e], v[s:e]))
+                elif parts[s] in held:
+                    qi, qv = (np.concatenate(c) for c in zip(*held[parts[s]], strict=True))
+                    for c in range(0, len(qi), 1024):
+                        found = best_of(qi[c : c + 1024], qv[c : c + 1024], ids[s:e], v[s:e])
+                        pool.append((np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), np.concatenate([f[1] for f in found]).astype(np.int64), np.concatenate([f[2] for f in found])))
+        yield from best_in_task(pool)
 
     found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
