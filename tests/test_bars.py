@@ -19,6 +19,7 @@ from tidebar.operators import modules as O
 from tidebar.operators import search, splits
 from tidebar.operators.models import Forest, calibrate, fit_forest, fit_scaler, pruned_columns
 from tidebar.plans.feature_plan import build, filtered
+from tidebar.queries import QUERIES
 from tidebar.sources import bars as S
 from tidebar.sources.sinks import cached_features
 
@@ -162,6 +163,13 @@ def test_as_of_takes_the_latest_not_after(spark, bars, frame):
     assert (got.known == got.bar_idx // 10 * 10).all()
 
 
+def test_registered_as_of_join_asks_every_bar(spark, sf_dir):
+    asked = QUERIES["bars_resampled"](spark, sf_dir).select("symbol", "bar_idx").toPandas()
+    got = QUERIES["as_of_join_whole"](spark, sf_dir).toPandas()
+    assert set(zip(got.symbol, got.bar_idx)) == set(zip(asked.symbol, asked.bar_idx)) and len(got) == len(asked)
+    assert {int(i) % 7 for i in got.known_idx.dropna()} == set(range(7))
+
+
 def test_labels(bars, frame):
     got, close = of(L.direction_labels(bars, LabelConfig(horizon=3, smoothing=2))), of_frame(frame)["close"]
     ahead = close.shift(-3) / close - 1

@@ -242,13 +242,22 @@ def daily_pivot(spark, sf_dir):
 
 @query
 def as_of_join(spark, sf_dir):
-    """Each order day with the last hourly bar of one event type: the time grids differ."""
+    """A sparse case: one bar in five, 17 minutes on, with the last of one bar in seven. ``as_of_join_whole`` is over all bars."""
     bars = S.hourly_bars(spark, sf_dir)
     asked = bars.where(F.col("bar_idx") % 5 == 3).select("symbol", (F.col("ts") + F.expr("INTERVAL 17 MINUTES")).alias("ts"), "bar_idx")
     known = bars.where(F.col("bar_idx") % 7 == 0).select("symbol", "ts", F.col("close").alias("known_close"), F.col("bar_idx").alias("known_idx"))
     return of_bars(X.as_of(asked, known, ["known_close", "known_idx"]), ["known_close", "known_idx"])
 
 
+@query
+def as_of_join_whole(spark, sf_dir):
+    """Every 6-hour bar, 17 minutes on, with the last of all hourly bars of its series."""
+    bars = S.hourly_bars(spark, sf_dir)
+    asked = S.numbered(S.resample(bars, "6 hours")).select("symbol", (F.col("ts") + F.expr("INTERVAL 17 MINUTES")).alias("ts"), "bar_idx")
+    known = bars.select("symbol", "ts", F.col("close").alias("known_close"), F.col("bar_idx").alias("known_idx"))
+    return of_bars(X.as_of(asked, known, ["known_close", "known_idx"]), ["known_close", "known_idx"])
+
+
 @query
 def direction_labels(spark, sf_dir):
     df = L.direction_labels(S.hourly_bars(spark, sf_dir), LabelConfig(cost_adjusted=True))
