@@ -261,6 +261,21 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert T.bootstrap(r.limit(5), replicates=40).count() == 0
 
 
+def test_bootstrap_and_overfit_take_every_series(spark, sf_dir):
+    rows = [(s, START + timedelta(hours=i), w * ((i % 5) - 1.5)) for s, w in (("a", 0.01), ("b", -0.02)) for i in range(60)] + [("c", START, 0.1)]
+    r = spark.createDataFrame(rows, "symbol string, ts timestamp, pnl double")
+    both, one = (T.bootstrap(x, replicates=40, key="symbol").where("symbol = 'b'").orderBy("replicate").toPandas() for x in (r, r.where("symbol = 'b'")))
+    pd.testing.assert_frame_equal(both, one)
+    assert {x.symbol for x in T.bootstrap(r, replicates=40, key="symbol").select("symbol").distinct().collect()} == {"a", "b"}
+    x = np.array([v for s, _, v in rows if s == "b"])
+    got = T.overfit(r, permutations=20, key="symbol").where("symbol = 'b'").first()
+    np.testing.assert_allclose([got.sharpe_in, got.sharpe_out], [np.sqrt(252) * y.mean() / y.std(ddof=1) for y in (x[:42], x[42:])])
+    symbols = {x.symbol for x in QUERIES["bars_hourly"](spark, sf_dir).select("symbol").distinct().collect()}
+    found = QUERIES["bootstrap_equity"](spark, sf_dir).groupBy("symbol").count().collect()
+    assert {x.symbol: x["count"] for x in found} == dict.fromkeys(symbols, 3)
+    assert {x.symbol for x in QUERIES["overfit_pbo"](spark, sf_dir).collect()} == symbols
+
+
 def test_bandit_and_configurations():
     arm = search.Arm()
     values = [0.1, 0.4, -0.2, 0.3]

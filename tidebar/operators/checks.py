@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -160,55 +161,79 @@ def _worst(x: np.ndarray) -> float:
     return float((curve / np.maximum.accumulate(curve) - 1).min())
 
 
-def _held_returns(returns: DataFrame, value: str):
+def _held_returns(returns: DataFrame, value: str, key: str | None):
+    """Broadcast (series, returns in time order) pairs, sorted by series; one of None without a key."""
     n = returns.count()
     if n > MOST_RETURNS:
         raise ValueError(f"over {MOST_RETURNS} returns")
-    x = np.array([r[0] for r in returns.orderBy(TIME).select(value).collect() if r[0] is not None], float)
-    return returns.sparkSession.sparkContext.broadcast(x)
+    series: dict[str | None, list[float]] = {} if key else {None: []}
+    for k, v in returns.orderBy(TIME).select(F.col(key) if key else F.lit(None), value).collect():
+        own = series.setdefault(k, [])
+        if v is not None:
+            own.append(v)
+    held = [(k, np.array(series[k], float)) for k in sorted(series, key=lambda k: (k is None, str(k)))]
+    return returns.sparkSession.sparkContext.broadcast(held)
 
 
-def bootstrap(returns: DataFrame, value: str = "pnl", replicates: int = 1000, block: int | None = None, seed: int = 42, periods: int = 252) -> DataFrame:
+def _seeds(seed: int, key: object, k: int) -> list[int]:
+    return [seed, int(k)] if key is None else [seed, int(k), zlib.crc32(str(key).encode())]
+
+
+def _keyed(returns: DataFrame, key: str | None) -> str:
+    return f"`{key}` {returns.schema[key].dataType.simpleString()}, " if key else ""
+
+
+def bootstrap(returns: DataFrame, value: str = "pnl", replicates: int = 1000, block: int | None = None, seed: int = 42, periods: int = 252, key: str | None = None) -> DataFrame:
     """(replicate, sharpe, total_return, max_drawdown) of circular block samples
-    of one series in time order; each replicate has its own seed, so results
-    don't depend on the partitions. Under 20 returns there are no replicates."""
-    held = _held_returns(returns, value)
+    of one series in time order, or with ``key`` of each of its series, named in
+    a first column; each replicate of a series has its own seed, so results
+    depend neither on the partitions nor on the other series. A series of under
+    20 returns has no replicates."""
+    held = _held_returns(returns, value, key)
+    long = [i for i, (_, x) in enumerate(held.value) if len(x) >= 20]
+    names = ["replicate", "sharpe", "total_return", "max_drawdown"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = held.value
-        size = block or max(1, round(math.sqrt(len(x))))
         for frame in frames:
             out = []
-            for k in frame["id"]:
-                rng = np.random.default_rng([seed, int(k)])
+            for at in frame["id"]:
+                (name, x), k = held.value[long[at // replicates]], at % replicates
+                size = block or max(1, round(math.sqrt(len(x))))
+                rng = np.random.default_rng(_seeds(seed, name, k))
                 starts = rng.integers(0, len(x), -(-len(x) // size))
                 sample = x[(starts[:, None] + np.arange(size)).ravel()[: len(x)] % len(x)]
-                out.append((k, _sharpe(sample, periods), float(np.prod(1 + sample) - 1), _worst(sample)))
-            yield pd.DataFrame(out, columns=["replicate", "sharpe", "total_return", "max_drawdown"])
+                found = (k, _sharpe(sample, periods), float(np.prod(1 + sample) - 1), _worst(sample))
+                out.append((name, *found) if key else found)
+            yield pd.DataFrame(out, columns=[key, *names] if key else names)
 
-    return returns.sparkSession.range(replicates if len(held.value) >= 20 else 0).mapInPandas(run, "replicate long, sharpe double, total_return double, max_drawdown double")
+    return returns.sparkSession.range(replicates * len(long)).mapInPandas(run, _keyed(returns, key) + "replicate long, sharpe double, total_return double, max_drawdown double")
 
 
-def bootstrap_summary(samples: DataFrame, level: float = 0.95) -> DataFrame:
-    """Interval and share of replicates not above 0, a row for each statistic."""
+def bootstrap_summary(samples: DataFrame, level: float = 0.95, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Interval and share of replicates not above 0, a row for each statistic (of each of ``keys``)."""
     names = ["sharpe", "total_return", "max_drawdown"]
-    rows = samples.select(F.explode(F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).alias("v")) for c in names))).alias("x"))
+    rows = samples.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).alias("v")) for c in names))).alias("x"))
     v = F.col("x.v")
-    return rows.groupBy(F.col("x.statistic").alias("statistic")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit((1 - level) / 2)).alias("low"), F.percentile(v, F.lit((1 + level) / 2)).alias("high"), F.avg((v <= 0).cast("double")).alias("p_value"))
+    return rows.groupBy(*keys, F.col("x.statistic").alias("statistic")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit((1 - level) / 2)).alias("low"), F.percentile(v, F.lit((1 + level) / 2)).alias("high"), F.avg((v <= 0).cast("double")).alias("p_value"))
 
 
-def overfit(returns: DataFrame, value: str = "pnl", train_share: float = 0.7, permutations: int = 500, seed: int = 42, periods: int = 252) -> DataFrame:
-    """One row: Sharpe in and out of sample, its decay, and the share of shuffled
-    series at least as good in sample."""
-    held = _held_returns(returns, value)
-    x = held.value
-    cut = int(len(x) * train_share)
-    inside, outside = _sharpe(x[:cut], periods), _sharpe(x[cut:], periods)
+def overfit(returns: DataFrame, value: str = "pnl", train_share: float = 0.7, permutations: int = 500, seed: int = 42, periods: int = 252, key: str | None = None) -> DataFrame:
+    """One row, or with ``key`` one for each of its series: Sharpe in and out of
+    sample, its decay, and the share of shuffled series at least as good in sample."""
+    held = _held_returns(returns, value, key)
+    names = ["sharpe_in", "sharpe_out", "decay", "s"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"s": [_sharpe(np.random.default_rng([seed, int(k)]).permutation(held.value)[:cut], periods) for k in frame["id"]]})
-
-    shuffled = returns.sparkSession.range(permutations).mapInPandas(run, "s double")
-    decay = 1 - outside / inside if inside else 0.0
-    return shuffled.agg(F.lit(inside).alias("sharpe_in"), F.lit(outside).alias("sharpe_out"), F.lit(decay).alias("decay"), F.avg((F.col("s") >= inside).cast("double")).alias("pbo"))
+            out = []
+            for at in frame["id"]:
+                name, x = held.value[at // permutations]
+                cut = int(len(x) * train_share)
+                inside, outside = _sharpe(x[:cut], periods), _sharpe(x[cut:], periods)
+                shuffled = np.random.default_rng(_seeds(seed, name, at % permutations)).permutation(x)[:cut]
+                found = (inside, outside, 1 - outside / inside if inside else 0.0, _sharpe(shuffled, periods))
+                out.append((name, *found) if key else found)
+            yield pd.DataFrame(out, columns=[key, *names] if key else names)
+
+    shuffled = returns.sparkSession.range(permutations * len(held.value)).mapInPandas(run, _keyed(returns, key) + "sharpe_in double, sharpe_out double, decay double, s double")
+    return shuffled.groupBy(*([key] if key else []), "sharpe_in", "sharpe_out", "decay").agg(F.avg((F.col("s") >= F.col("sharpe_in")).cast("double")).alias("pbo"))

@@ -468,18 +468,18 @@ def quality_score(spark, sf_dir):
     return rounded(T.quality_score(S.hourly_bars(spark, sf_dir)), ["symbol"], ["errors", "warnings", "outlier_rate", "score"])
 
 
-def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.with_returns(small(signals(spark, sf_dir))).where("symbol = 'click'").select("ts", "pnl")
+def all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.with_returns(small(signals(spark, sf_dir))).select("symbol", "ts", "pnl")
 
 
 @query
 def bootstrap_equity(spark, sf_dir):
-    return T.bootstrap_summary(T.bootstrap(one_series(spark, sf_dir)))
+    return T.bootstrap_summary(T.bootstrap(all_series(spark, sf_dir), key="symbol"), keys=("symbol",))
 
 
 @query
 def overfit_pbo(spark, sf_dir):
-    return T.overfit(one_series(spark, sf_dir))
+    return T.overfit(all_series(spark, sf_dir), key="symbol")
 
 
 @query
