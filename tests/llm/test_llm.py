@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from tidebar.llm.components import connected_components
 from tidebar.llm.decontaminate import contamination, drop_contaminated
 from tidebar.llm.labelled import held_out_fold
 from tidebar.llm.language import identify_language
-from tidebar.llm.licenses import TEMPLATES, scan_licenses
+from tidebar.llm.licenses import MIN_COVERAGE, TEMPLATES, build_index, scan_batch, scan_licenses
 from tidebar.llm.linededup import drop_repeated_lines
 from tidebar.llm.mixing import mix_sources
 from tidebar.llm.neardup import drop_near_duplicates, estimate_jaccard, near_duplicates, registers_of
@@ -370,6 +371,22 @@ def test_licenses_are_found_with_spans(spark):
 # The pipeline
 
 
+def test_licenses_changed_as_far_as_allowed_are_found():
+    """Every single-word deletion and substitution that min_coverage allows, and words put between."""
+    index = build_index(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        words = re.findall(r"[A-Za-z0-9]+", text)
+        if not (len(words) - 1) / len(words) >= MIN_COVERAGE or len(words) > 100:
+            continue
+        changed = [words[:i] + new + words[i + 1 :] for i in range(len(words)) for new in ([], ["zzz"])]
+        every = max(2, round(1 / (1 - MIN_COVERAGE)))
+        changed.append([w if i % every else "zzz" for i, w in enumerate(words, 1)])
+        changed.append([w for i, x in enumerate(words) for w in ((x, "zzz") if i == 1 else (x,))])
+        texts = pa.array(["alpha beta " + " ".join(x) + " gamma" for x in changed])
+        for x, found in zip(changed, scan_batch(texts, index)[0].to_pylist(), strict=True):
+            assert name in {f["license"] for f in found}, (name, x)
+
+
 def test_pipeline_stages_keep_clean_documents(spark, sf_dir):
     import corpus_pipeline as P
 

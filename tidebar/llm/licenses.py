@@ -1,14 +1,18 @@
-"""License scans: winnowed template fingerprints, then banded alignment.
-
-Templates' K-word hashes are winnowed (the least of every W neighbours) into an
-inverted index, so any K + W - 1 template words in a row hold an entry. A
-document's K-word hashes, all of them, are looked up in it; hits on near
-diagonals of one template make a candidate region. A banded alignment of the
-template with the region reports the words matched in order and their span.
+"""License scans: anchor words of templates, then banded alignment.
+
+A template of n words that must be covered by m may miss n - m words. So of its
+n - m + r rarest word places, any alignment that counts matches r, on near
+diagonals (word place less template place). These anchors are the inverted
+index; a document's words, all of them, are looked up in it, and r hits within a
+band's width make a candidate region: no alignment at the least coverage or
+above lacks one, wherever words are changed, left out or put in. A banded
+alignment of the template with the region reports the words matched in order
+and their span.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +23,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 from . import textgrams as T
 from .arrowmap import append_from_text
 
+#: Templates of fewer words aren't looked for.
 K = 3
-W = 3
 #: An alignment may drift from its diagonal, either way, by a quarter of the template's words, this many at most.
 BAND = 8
 MIN_COVERAGE = 0.8
@@ -44,96 +48,135 @@ TEMPLATES = {
 class TemplateIndex:
     names: list[str]
     words: list[np.ndarray]
-    keys: np.ndarray  # sorted fingerprints
-    template: np.ndarray  # of each key
+    least: np.ndarray  # words that must match
+    need: np.ndarray  # anchors among them
+    keys: np.ndarray  # sorted distinct anchor words
+    first: np.ndarray  # of each key's entries, and the end
+    template: np.ndarray  # of each entry
     place: np.ndarray
 
 
-def _words(text: str) -> np.ndarray:
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths in bytes."""
     data = np.frombuffer(text.encode(), np.uint8)
-    return T.Tokens(data, np.array([0, len(data)]), T.WORDS).hash
-
-
-def _run_hashes(words: np.ndarray) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - K + 1), np.uint64)
-    for i in range(K):
-        out = T.mix(out * np.uint64(0x2545F4914F6CDD1D) + words[i : len(words) - K + 1 + i] + np.uint64(i + 1))
-    return out
+    tokens = T.Tokens(data, np.array([0, len(data)]), T.WORDS)
+    return tokens.hash, tokens.end - tokens.start
 
 
-def build_index(templates: dict[str, str]) -> TemplateIndex:
+def build_index(templates: dict[str, str], minimum: float = MIN_COVERAGE) -> TemplateIndex:
     names = sorted(templates)
-    words = [_words(templates[n]) for n in names]
+    words, sizes = zip(*(_words(templates[n]) for n in names), strict=True) if names else ((), ())
     if sum(map(len, words)) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates hold over {MOST_TEMPLATE_WORDS} words")
-    entries = set()
-    for t, own in enumerate(words):
-        runs = _run_hashes(own)
-        for s in range(max(1, len(runs) - W + 1)):
-            window = runs[s : s + W]
-            if len(window):
-                at = s + int(len(window) - 1 - np.argmin(window[::-1]))
-                entries.add((int(runs[at]), t, at))
-    rows = sorted(entries)
-    return TemplateIndex(names, words, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-
-
-def align(template: np.ndarray, words: np.ndarray, diagonal: int, floor: int = 0) -> tuple[int, int, int]:
+    seen, often = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_counts=True)
+    least, need, entries = [], [], [np.zeros((0, 3), np.uint64)]
+    for t, (own, size) in enumerate(zip(words, sizes, strict=True)):
+        m = max(1, math.ceil(minimum * len(own) - 1e-9))
+        r = min(m, max(2, m // 4))
+        least.append(m)
+        need.append(r)
+        if K <= len(own) >= m:
+            rarest = np.lexsort((np.arange(len(own)), -size, often[np.searchsorted(seen, own)]))[: len(own) - m + r]
+            entries.append(np.stack((own[rarest], np.full(len(rarest), t, np.uint64), rarest.astype(np.uint64)), axis=1))
+    rows = np.concatenate(entries)
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    keys, first = np.unique(rows[:, 0], return_index=True)
+    return TemplateIndex(names, list(words), np.array(least, np.int64), np.array(need, np.int64), keys, np.append(first, len(rows)), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64))
+
+
+def _band(n: int) -> int:
+    return min(BAND, max(1, n // 4))
+
+
+def align(template: np.ndarray, words: np.ndarray, diagonal: int, floor: int = 0, least: int = 0) -> tuple[int, int, int]:
     """(matched, first, stop): the most words of ``template`` matched in order in
     a band about the diagonal (word place less template place), none before
-    ``floor``, and the span of places they take, the shortest that ends first."""
-    band = min(BAND, max(1, len(template) // 4))
+    ``floor``, and the span of places they take, the shortest that ends first;
+    none if fewer than ``least`` match."""
+    band = _band(len(template))
     best: dict[int, tuple[int, int]] = {}  # last place used -> matched, minus-first
+    passed = (0, 0)  # the best of those that ended before the band
     top = (0, 0, 0)
     for i, w in enumerate(template):
+        if top[0] + len(template) - i < least:
+            return (0, 0, 0)
         lo = max(floor, i + diagonal - band)
         hi = max(lo, min(len(words), i + diagonal + band + 1))
+        for last in [x for x in best if x < lo]:
+            passed = max(passed, best.pop(last))
         for j in np.flatnonzero(words[lo:hi] == w)[::-1] + lo:
             before = max(((m, f) for last, (m, f) in best.items() if last < j), default=(0, int(j)))
+            before = max(before, passed) if passed[0] else before
             now = (before[0] + 1, before[1])
             if now > best.get(int(j), (0, 0)):
                 best[int(j)] = now
                 if (now[0], now[1] - int(j)) > (top[0], top[1] - top[2]):
                     top = (now[0], now[1], int(j))
-    return (top[0], top[1], top[2] + 1) if top[0] else (0, 0, 0)
-
-
-def _scan(words: np.ndarray, index: TemplateIndex, minimum: float) -> list[tuple[int, int, float, int, int]]:
-    """(template, matched, coverage, first, stop) of a document, by place."""
-    runs = _run_hashes(words)
-    if not len(runs):
-        return []
-    at = np.searchsorted(index.keys, runs)
-    hit = np.flatnonzero(np.take(index.keys, at, mode="clip") == runs)
-    regions: dict[int, list[int]] = {}
-    for p in hit:
-        k = at[p]
-        while k < len(index.keys) and index.keys[k] == runs[p]:
-            regions.setdefault(int(index.template[k]), []).append(int(p - index.place[k]))
-            k += 1
-    found = []
-    for t, diagonals in regions.items():
-        own, end = index.words[t], 0
-        for d in sorted(set(diagonals)):
-            if d + len(own) <= end:
-                continue
-            matched, first, stop = align(own, words, d, end)
-            if matched / len(own) >= minimum:
-                found.append((t, matched, matched / len(own), first, stop))
-                end = stop
-    return sorted(found, key=lambda s: (s[3], s[4], s[0]))
+    return (top[0], top[1], top[2] + 1) if top[0] and top[0] >= least else (0, 0, 0)
+
+
+def _candidates(tokens: T.Tokens, index: TemplateIndex) -> dict[tuple[int, int], list[int]]:
+    """(document, template) to the diagonals, ascending and in places of the block,
+    about which enough anchors could lie."""
+    if not len(index.keys) or not len(tokens.hash):
+        return {}
+    at = np.minimum(np.searchsorted(index.keys, tokens.hash), len(index.keys) - 1)
+    hit = np.flatnonzero(index.keys[at] == tokens.hash)
+    start, n = index.first[at[hit]], index.first[at[hit] + 1] - index.first[at[hit]]
+    entry = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+    place, t = np.repeat(hit, n), index.template[entry]
+    diagonal = place - index.place[entry]
+    group = (np.searchsorted(tokens.first, place, "right") - 1) * len(index.names) + t
+    order = np.lexsort((diagonal, group))
+    group, diagonal = group[order], diagonal[order]
+    t = group % len(index.names)
+    upto = np.arange(len(group)) + index.need[t] - 1
+    inside = upto < len(group)
+    upto = np.where(inside, upto, 0)
+    bands = np.array([_band(len(w)) for w in index.words])[t]
+    found: dict[tuple[int, int], set[int]] = {}
+    for k in np.flatnonzero(inside & (group[upto] == group) & (diagonal[upto] - diagonal <= 2 * bands)):
+        own = found.setdefault((int(group[k]) // len(index.names), int(t[k])), set())
+        own.update(range(int(diagonal[upto[k]] - bands[k]), int(diagonal[k] + bands[k]) + 1))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _matches(own: np.ndarray, words: np.ndarray, diagonals: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(matched, first, stop) of one template: at the first diagonal that does, the
+    best of those up to two bands on; then behind it."""
+    found, end = [], 0
+    for k, d in enumerate(diagonals):
+        if d + len(own) <= end:
+            continue
+        best = align(own, words, d, end, least)
+        if not best[0]:
+            continue
+        for other in diagonals[k + 1 :]:
+            if other > d + 2 * _band(len(own)) or best[0] == len(own) == best[2] - best[1]:
+                break
+            now = align(own, words, other, end, best[0])
+            if (now[0], now[1] - now[2]) > (best[0], best[1] - best[2]):
+                best = now
+        found.append(best)
+        end = best[2]
+    return found
 
 
 _MATCH = StructType([StructField("license", StringType()), StructField("matched", LongType()), StructField("coverage", DoubleType()), StructField("start", LongType()), StructField("stop", LongType())])
 _ARROW = pa.list_(pa.struct([("license", pa.string()), ("matched", pa.int64()), ("coverage", pa.float64()), ("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def scan_batch(texts: pa.Array, index: TemplateIndex, minimum: float) -> list[pa.Array]:
+def scan_batch(texts: pa.Array, index: TemplateIndex) -> list[pa.Array]:
     rows = []
     for row, _, data, offsets in T.blocks(texts):
         tokens = T.Tokens(data, offsets, T.WORDS)
-        for d, (a, b) in enumerate(zip(tokens.first[:-1], tokens.first[1:], strict=True)):
-            found = _scan(tokens.hash[a:b], index, minimum) if b - a >= K else []
+        matches: dict[int, list[tuple[int, int, float, int, int]]] = {}
+        for (d, t), diagonals in _candidates(tokens, index).items():
+            own, first = index.words[t], int(tokens.first[d])
+            for m, s, e in _matches(own, tokens.hash[first : tokens.first[d + 1]], [x - first for x in diagonals], int(index.least[t])):
+                matches.setdefault(d, []).append((t, m, m / len(own), s, e))
+        for d, a in enumerate(tokens.first[:-1]):
+            found = sorted(matches.get(d, []), key=lambda s: (s[3], s[4], s[0]))
             if found:
                 raw = data[offsets[d] : offsets[d + 1]]
                 marks = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # characters before each byte
@@ -152,6 +195,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     marks don't matter. A template of fewer than K words can't be found. Rows
     stay as many as they are; columns of ``docs`` named licenses or licensed are
     replaced; texts of any length are scanned whole."""
-    index = docs.sparkSession.sparkContext.broadcast(build_index(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(build_index(TEMPLATES if templates is None else templates, min_coverage))
     fields = [StructField("licenses", ArrayType(_MATCH)), StructField("licensed", BooleanType())]
-    return append_from_text(docs, text_col, fields, lambda texts: scan_batch(texts, index.value, min_coverage), keep)
+    return append_from_text(docs, text_col, fields, lambda texts: scan_batch(texts, index.value), keep)
