@@ -17,7 +17,7 @@ from tidebar.llm.components import connected_components
 from tidebar.llm.decontaminate import contamination, drop_contaminated
 from tidebar.llm.labelled import held_out_fold
 from tidebar.llm.language import identify_language
-from tidebar.llm.licenses import MIN_COVERAGE, TEMPLATES, build_index, scan_batch, scan_licenses
+from tidebar.llm.licenses import MIN_COVERAGE, NOTICES, TEMPLATES, build_index, scan_batch, scan_licenses
 from tidebar.llm.linededup import drop_repeated_lines
 from tidebar.llm.mixing import mix_sources
 from tidebar.llm.neardup import drop_near_duplicates, estimate_jaccard, near_duplicates, registers_of
@@ -371,10 +371,27 @@ def test_licenses_are_found_with_spans(spark):
 # The pipeline
 
 
+def test_standard_licenses_are_found():
+    """Headers, a warranty alone, whole texts with other line breaks, and prose that only uses their words."""
+    cases = {
+        "GPL-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\n# GNU General Public License for more details.",
+        "Unlicense-text": TEMPLATES["Unlicense-text"].replace(" ", "\n"),
+        "BSL-1.0-text": TEMPLATES["BSL-1.0-text"],
+        "MIT-warranty": TEMPLATES["MIT-warranty"].lower(),
+        "BSD-warranty": TEMPLATES["BSD-warranty"],
+        "GPL-3.0-text": "My program\n" + TEMPLATES["GPL-3.0-text"],
+    }
+    plain = "The program is software for any person, and the license of the work is a permission to use the copy. " * 50
+    found = scan_batch(pa.array([*cases.values(), plain]), build_index(TEMPLATES))[0].to_pylist()
+    for name, x in zip(cases, found, strict=False):
+        assert name in {f["license"] for f in x}, name
+    assert not found[-1]
+
+
 def test_licenses_changed_as_far_as_allowed_are_found():
     """Every single-word deletion and substitution that min_coverage allows, and words put between."""
-    index = build_index(TEMPLATES)
-    for name, text in TEMPLATES.items():
+    index = build_index(NOTICES)
+    for name, text in NOTICES.items():
         words = re.findall(r"[A-Za-z0-9]+", text)
         if not (len(words) - 1) / len(words) >= MIN_COVERAGE or len(words) > 100:
             continue

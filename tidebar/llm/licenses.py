@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ MIN_COVERAGE = 0.8
 #: Templates are broadcast; more words than this are refused.
 MOST_TEMPLATE_WORDS = 1_000_000
 
-#: Short license notices and header paragraphs.
-TEMPLATES = {
+#: Short notices here; whole license texts, headers and warranties in license_texts.
+NOTICES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "MIT-notice": "Released under the MIT License.",
@@ -42,6 +43,7 @@ TEMPLATES = {
     "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+TEMPLATES = NOTICES | {p.name.removesuffix(".txt"): p.read_text() for p in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
 
 
 @dataclass
