@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidebar.llm.decontaminate import drop_contaminated
 from tidebar.llm.language import UNKNOWN, identify_language
 from tidebar.llm.linededup import drop_repeated_lines
-from tidebar.llm.neardup import drop_near_duplicates
+from tidebar.llm.neardup import keep_one_of_each
 from tidebar.llm.queries import mix_of
 from tidebar.llm.store import Workspace, read_table
 
@@ -37,7 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: one document of each group stays (five words, 0.8)."""
-    return drop_near_duplicates(docs.select(*COLUMNS))
+    return keep_one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from tidebar.llm.language import identify_language
 from tidebar.llm.licenses import MIN_COVERAGE, NOTICES, TEMPLATES, build_index, scan_batch, scan_licenses
 from tidebar.llm.linededup import drop_repeated_lines
 from tidebar.llm.mixing import mix_sources
-from tidebar.llm.neardup import drop_near_duplicates, estimate_jaccard, near_duplicates, registers_of
+from tidebar.llm.neardup import drop_near_duplicates, estimate_jaccard, keep_one_of_each, near_duplicates, registers_of
 from tidebar.llm.neighbours import nearest
 from tidebar.llm.quality import score_quality
 from tidebar.llm.queries import ORACLE_SQL, QUERIES
@@ -328,6 +328,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def test_one_of_each_group_stays(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    rows = [(1, a)] * 50 + [(None, b)] * 30 + [(None, c), (7, c + "more"), (7, c), (2, ""), (2, ""), (3, None), (4, "alone")]
+    got = keep_one_of_each(table(spark, rows)).collect()
+    assert collections.Counter(r.doc_id for r in got) == {1: 1, None: 1, 7: 1, 2: 2, 3: 1, 4: 1}
+    assert [r.text for r in got if r.doc_id is None] == [b]
+    assert keep_one_of_each(table(spark, [])).count() == 0
+
+
 def test_estimates_are_near_the_similarity():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.8, 0.95):

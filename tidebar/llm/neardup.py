@@ -266,7 +266,7 @@ def _joining(dealt: DataFrame, classes: DataFrame, threshold: float, percent: in
 
 
 def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, row_key, n_shingles, component_id, kept)."""
+    """(id, row_key, n_shingles, component, component_id, kept)."""
     spark, threshold = docs.sparkSession, percent / 100
     work = Workspace(spark, "neardup")
     sketch = work.materialize(sketch_documents(docs, id_col, text_col, shingle), "sketch")
@@ -314,7 +314,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     rows = work.materialize(rows.select("id", "row_key", "n_shingles", "component"), "rows")
     names = work.materialize(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "names")
     own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    named = rows.join(names, "component", "left").select("id", "row_key", "n_shingles", own.alias("component_id"))
+    named = rows.join(names, "component", "left").select("id", "row_key", "n_shingles", "component", own.alias("component_id"))
     work.drop("classes", "members", "active", "sets", "labelled", "dealt")
     return named.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
@@ -344,6 +344,30 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     return docs.join(gone, F.xxhash64(id_col, text_col) == F.col("__row_key"), "left_anti")
 
 
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group that ``near_duplicates`` links.
+
+    It is the first by id (nulls last), then by digest of id and text; of rows
+    that repeat both, the least by all columns, which must have an order. Null,
+    empty and blank texts are in no group: all their rows stay."""
+    work = Workspace(docs.sparkSession, "neardup")
+    rows = _classified(docs, shingle, percent, id_col, text_col).where("component is not null")
+    keyed = work.materialize(rows.groupBy("component", "row_key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "keyed")
+    first = work.materialize(keyed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first")), "first")
+    same = F.col("row_key") == F.col("first.row_key")
+    other = keyed.join(first, "component").where(~same | (F.col("n") > 1)).select(F.col("row_key").alias("__row_key"), same.alias("__again"))
+    other = work.materialize(other, "other")
+    again = other.where("__again").select("__row_key")
+    if other.count() <= MOST_BROADCAST:  # else the texts are shuffled
+        other, again = F.broadcast(other), F.broadcast(again)
+    key = F.xxhash64(id_col, text_col) == F.col("__row_key")
+    left = docs.join(other, key, "left_anti")
+    if again.isEmpty():
+        return left
+    copied = docs.join(again, key).groupBy("__row_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.unionByName(copied.select("row.*"))
+
+
 def _sets_batch(texts: pa.Array, shingle: int) -> list[pa.Array]:
     sets = [s for block in _sets(texts, shingle) for s in block]
     return [pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
