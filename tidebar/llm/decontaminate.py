@@ -11,16 +11,21 @@ are compared word for word.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows are broadcast up to this many (about 200 bytes each); beyond it they
-#: are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: What stands between words. Splitting at it costs a tenth of extracting its complement.
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Windows of one block (about 200 bytes each, broadcast). More are looked for block by block, each
+#: over all documents: texts and words never cross a shuffle.
+BLOCK_WINDOWS = 200_000
+#: Documents to drop are broadcast up to this many (about 60 bytes each); beyond it texts are shuffled.
+MOST_BROADCAST = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,7 +33,7 @@ def words_of(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; none for a null."""
     ascii_only = F.octet_length(text) == F.char_length(text)
     lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(lowered, SEPARATOR), ""), F.array().cast("array<string>"))
 
 
 def _pair_key(first: Column, second: Column) -> Column:
@@ -53,6 +58,19 @@ def _places(words: DataFrame, singles: bool) -> DataFrame:
     return pairs.withColumn("key", F.explode(F.array(key, _pair_key(F.col("pair.w"), F.lit(None).cast("string"))))).drop("pair")
 
 
+def _block_hits(work: Workspace, words: DataFrame, keyed: DataFrame, singles: bool, block: int) -> DataFrame:
+    """(id, digest, window, start, stop): where the block's windows stand."""
+    tokens = F.broadcast(keyed.select("key").distinct())
+    frequency = _places(words.select("words"), singles).select("key").join(tokens, "key").groupBy("key").agg(F.count("*").alias("n"))
+    frequency = work.materialize(frequency, f"frequency-{block}")
+    ranked = keyed.join(frequency, "key", "left").groupBy("window", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset")).alias("rarest"))
+    prefix = work.materialize(ranked.where("rarest.n > 0").select("window", "win", "rarest.key", "rarest.offset"), f"prefix-{block}")
+    start, size = F.col("at") - F.col("offset"), F.size("win")
+    hits = _places(words, singles).join(F.broadcast(prefix), "key").where((start >= 0) & (start + size <= F.size("words")))
+    hits = hits.where(F.slice("words", start + 1, size) == F.col("win"))
+    return work.materialize(hits.select("id", "digest", "window", start.alias("start"), (start + size).alias("stop")), f"hits-{block}")
+
+
 def _hit_documents(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """(id, digest, n_hit, spans, items) of documents with hits, named by id and text."""
     work = Workspace(docs.sparkSession, "decontaminate")
@@ -64,20 +82,11 @@ def _hit_documents(docs: DataFrame, benchmark: DataFrame, window: int, id_col: s
     element = lambda i: F.get("win", i)
     keyed = keyed.withColumn("key", _pair_key(element(F.col("offset")), element(F.col("offset") + 1)))
 
-    n_windows = distinct.count()
-    bounded = (lambda d: F.broadcast(d)) if n_windows * window <= MOST_BROADCAST * WINDOW else (lambda d: d)
+    n_blocks = max(1, -(-distinct.count() * window // (BLOCK_WINDOWS * WINDOW)))
     singles = not owned.where(F.size("win") == 1).isEmpty()
     words = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest"), words_of(F.col("text")).alias("words"))
-    tokens = keyed.select("key").distinct()
-    frequency = _places(words.select("words"), singles).select("key").join(bounded(tokens), "key").groupBy("key").agg(F.count("*").alias("n"))
-    frequency = work.materialize(frequency, "frequency")
-
-    ranked = keyed.join(frequency, "key", "left").groupBy("window", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset")).alias("rarest"))
-    prefix = work.materialize(ranked.where("rarest.n > 0").select("window", "win", "rarest.key", "rarest.offset"), "prefix")
-    start, size = F.col("at") - F.col("offset"), F.size("win")
-    hits = _places(words, singles).join(bounded(prefix), "key").where((start >= 0) & (start + size <= F.size("words")))
-    hits = hits.where(F.slice("words", start + 1, size) == F.col("win"))
-    hits = work.materialize(hits.select("id", "digest", "window", start.alias("start"), (start + size).alias("stop")), "hits")
+    found = [_block_hits(work, words, keyed.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k), singles, k) for k in range(n_blocks)]
+    hits = reduce(DataFrame.unionByName, found)
 
     document = ["id", "digest"]
     before = Window.partitionBy(*document).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,4 +124,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a window; the cases are those of ``contamination``."""
     found = _hit_documents(docs, benchmark, window, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(F.col(text_col)) == F.col("__digest")), "left_anti")
