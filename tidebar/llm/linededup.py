@@ -9,26 +9,49 @@ first copy of every line in a repeated passage stays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
 
 WINDOW = 3
-#: Covered lines are looked up by a broadcast up to this many documents and
-#: lines (some 16 MB); beyond it they are joined by a shuffle of the texts.
+#: Documents to cut are broadcast up to this many, and bytes of their masks (a byte
+#: a line, some 16 MB in all); beyond it they are joined by a shuffle of the texts.
 MOST_DOCUMENTS = 100_000
-MOST_LINES = 1_000_000
+MOST_LINES = 8_000_000
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(id, digest, first, last, h1, h2): line numbers (from 0) and hash of each window."""
+    """(id, digest, first, last, h1, h2): line numbers (from 0) and hash of each window.
+
+    A document's windows are made as one array and only they are exploded, so a
+    text's memory grows with its lines."""
     numbered = F.transform(F.split(F.col(text_col), "\n"), lambda line, i: F.struct(i.alias("i"), F.trim(line).alias("t")))
     lines = docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("digest"), F.filter(numbered, lambda x: x.t != "").alias("lines")).where(F.size("lines") >= window)
-    rows = lines.select("id", "digest", "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - window + 1)).alias("s"))
-    own = F.slice("lines", F.col("s"), window)
-    text = F.array_join(F.transform(own, lambda x: x.t), "\n")
-    return rows.select("id", "digest", F.element_at(own, 1).i.alias("first"), F.element_at(own, -1).i.alias("last"), F.xxhash64(text, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"))
+    n = F.greatest(F.size("lines") - window + 1, F.lit(0))
+    shifted = F.arrays_zip(*(F.slice("lines", F.lit(k + 1), n).alias(f"l{k}") for k in range(window)))
+
+    def hashed(x):
+        text = F.concat_ws("\n", *(x[f"l{k}"].t for k in range(window)))
+        return F.struct(x.l0.i.alias("first"), x[f"l{window - 1}"].i.alias("last"), F.xxhash64(text, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"))
+
+    return lines.select("id", "digest", F.transform(shifted, hashed).alias("windows")).select("id", "digest", F.inline("windows"))
+
+
+def _masks(later: DataFrame) -> DataFrame:
+    """(__id, __digest, __mask binary, __n): for each line to the last covered one, 0x31 if it goes."""
+    document = ["id", "digest"]
+    order = Window.partitionBy(*document).orderBy("first", "last")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.max("last").over(before) < F.col("first"), F.lit(True))
+    spans = later.select(*document, "first", "last").distinct().withColumn("fresh", fresh)
+    runs = spans.withColumn("run", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*document, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    gap = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy(*document).orderBy("run")) + 1, F.lit(0))
+    n = F.col("last") - F.col("first") + 1
+    parts = runs.select(*document, "run", n.alias("n"), F.concat(F.repeat(F.lit("0"), gap), F.repeat(F.lit("1"), n)).alias("part"))
+    whole = parts.groupBy(*document).agg(F.array_sort(F.collect_list(F.struct("run", "part"))).alias("parts"), F.sum("n").alias("__n"))
+    return whole.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.array_join("parts.part", "").cast("binary").alias("__mask"), "__n")
 
 
 def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,26 +62,25 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "do
     come last in order. Rows that repeat both id and text are one document, and
     all end alike. Lines are compared without spaces at their ends; those kept
     are unchanged. A text may end empty. Columns of ``docs`` named n_lines or
-    n_removed are replaced, others stay."""
+    n_removed are replaced, others stay. Work and memory for a text grow with its
+    length, whatever its lines."""
     work = Workspace(docs.sparkSession, "linededup")
     found = _occurrences(docs, id_col, text_col, window)
     place = lambda: F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("digest").alias("digest"), F.col("first").alias("first"))
     repeated = found.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place()).alias("earliest")).where("n > 1").select("h1", "h2", "earliest")
     # A written table: Spark splits a hot window's rows only if no aggregate stands between the shuffle and the join.
     repeated = work.materialize(repeated, "repeated")
-    later = found.join(repeated, ["h1", "h2"]).where(place() != F.col("earliest"))
-    covered = later.select("id", "digest", F.explode(F.sequence("first", "last")).alias("line")).distinct().groupBy("id", "digest").agg(F.collect_set("line").alias("__covered"))
-    covered = work.materialize(covered.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__covered"), "covered")
-    n_documents, n_lines = covered.agg(F.count("*"), F.coalesce(F.sum(F.size("__covered")), F.lit(0))).first()
+    covered = work.materialize(_masks(found.join(repeated, ["h1", "h2"]).where(place() != F.col("earliest"))), "covered")
+    n_documents, n_lines = covered.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__mask")), F.lit(0))).first()
     if n_documents <= MOST_DOCUMENTS and n_lines <= MOST_LINES:
         covered = F.broadcast(covered)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*kept).join(covered, F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(text_col) == F.col("__digest")), "left")
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__covered"), i)), "\n")
-    text = F.when(F.col("__covered").isNull(), F.col(text_col)).otherwise(left)
+    left = F.array_join(F.filter(lines, lambda _, i: F.substring(F.col("__mask"), i + 1, 1) != F.lit("1").cast("binary")), "\n")
+    text = F.when(F.col("__mask").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in kept),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias("n_removed"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"),
     )
