@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from . import textgrams as T
-from .arrowmap import append_from_text
+from .arrowmap import append_from_text, bound_batches
 from .components import connected_components
 from .store import Workspace
 
@@ -43,9 +43,11 @@ Q = 65534
 #: (five standard deviations of the estimate at 0.8).
 MARGIN = 0.16
 CENTRES = 2
+#: A block's classes, and bytes of their sets, about.
 BLOCK = 512
-#: Active classes and dropped rows are looked up by a broadcast up to this many (8 to 24 bytes each).
-MOST_BROADCAST = 1_000_000
+BLOCK_BYTES = 8 << 20
+#: Active classes and dropped rows are looked up by a broadcast up to this many (some 100 bytes each in memory).
+MOST_BROADCAST = 500_000
 
 _draw = np.random.Generator(np.random.PCG64(977))
 _MULTIPLIERS = _draw.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -131,9 +133,15 @@ def _sketch_batch(texts: pa.Array, shingle: int) -> list[pa.Array]:
 _SKETCH = [StructField("n_shingles", LongType()), StructField("sid", BinaryType()), StructField("bands", ArrayType(LongType())), StructField("registers", BinaryType())]
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text."""
+    own = F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none"))
+    return F.unhex(F.md5(F.concat(own, F.lit("|"), F.coalesce(F.md5(F.col(text_col)), F.lit("none")))))
+
+
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, row_key, n_shingles, sid, bands, registers): sid names the set."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key"))
     return append_from_text(rows, "text", _SKETCH, lambda texts: _sketch_batch(texts, shingle), ["id", "row_key"])
 
 
@@ -144,6 +152,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, estimate) of the pairs whose sizes allow the threshold and whose estimate doesn't exclude it."""
+    bound_batches(pairs.sparkSession)
     for x in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("sid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")), x)
         if x == "b":
@@ -179,21 +188,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, work: Workspace) -> DataFrame:
     """(task, side, within, sid, component): what is compared between components
     that share a bucket.
 
-    members: (key, sid, component), whole buckets of several components. A
+    members: (key, sid, n_shingles, component), whole buckets of several components. A
     bucket's largest component is its hub. For each hub, its classes in such
     buckets and the others' (the minors) are dealt out in blocks; every minor is
     compared with the hub's classes and with the other minors, a task having two
     blocks at most. Registers that differ too much rule a pair out; the rest is
-    compared exactly, likeliest first, until the two components are joined."""
+    compared exactly, likeliest first, until the two components are joined.
+
+    Aggregates are written before they are joined, so that a hot key's rows can be split."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    hubs = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("hub"))
-    rows = members.join(hubs, "key").select("hub", "sid", "component").distinct().withColumn("minor", F.col("component") != F.col("hub"))
-    blocks = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.lit(1)).cast("int")
-    stats = rows.groupBy("hub").agg(blocks(~F.col("minor")).alias("majors"), blocks(F.col("minor")).alias("minors"))
+    hubs = work.materialize(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("hub")), "hubs")
+    rows = members.join(hubs, "key").select("hub", "sid", "n_shingles", "component").distinct().withColumn("minor", F.col("component") != F.col("hub"))
+    rows = work.materialize(rows, "sides")
+    size = lambda c: F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(c, F.col("n_shingles"))) * 8 / BLOCK_BYTES, F.lit(1))
+    blocks = lambda c: F.ceil(size(c)).cast("int")
+    stats = work.materialize(rows.groupBy("hub").agg(blocks(~F.col("minor")).alias("majors"), blocks(F.col("minor")).alias("minors")), "blocks")
     block = F.pmod(F.xxhash64("sid"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
     rows = rows.join(stats, "hub").withColumn("block", block)
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -236,31 +249,31 @@ def _joining(dealt: DataFrame, classes: DataFrame, threshold: float, percent: in
                     out[1].append(y)
         return out
 
-    def groups(table: pa.Table, last: bool):
-        batch = table.combine_chunks().to_batches()[0]
-        keys = batch.column(0).to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        upto = len(cuts) - 1 if last else len(cuts) - 2
-        x, y = [], []
-        for s, e in zip(cuts[:upto], cuts[1 : upto + 1], strict=True):
-            if e - s > 1:
-                i, j = compare(batch.slice(s, e - s))
-                x += [s + v for v in i]
-                y += [s + v for v in j]
+    def linked(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0] if len(pieces) > 1 else pieces[0]
+        if len(whole) < 2:
+            return
+        x, y = compare(whole)
         if x:
-            pairs = list(zip(*(batch.column(3).take(pa.array(v)).to_pylist() for v in (x, y)), strict=True))
+            pairs = list(zip(*(whole.column(3).take(pa.array(v)).to_pylist() for v in (x, y)), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([f(p) for p in pairs], pa.binary()) for f in (max, min)], names=["a", "b"])
-        return None if last else pa.Table.from_batches([batch.slice(cuts[upto])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        """Rows come by task; no more than one task's are held."""
+        task, held = None, []
         for batch in batches:
-            if len(batch):
-                table = pa.Table.from_batches([batch])
-                rest = yield from groups(table if rest is None else pa.concat_tables([rest, table]), False)
-        if rest is not None and len(rest):
-            yield from groups(rest, True)
-
+            keys = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(keys) else []
+            for s, e in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if e > s and keys[s] != task:
+                    if held:
+                        yield from linked(held)
+                    task, held = keys[s], []
+                held += [batch.slice(s, e - s)] if e > s else []
+        if held:
+            yield from linked(held)
+
+    bound_batches(dealt.sparkSession)
     whole = dealt.join(classes, "sid").select("task", "side", "within", "sid", "component", "registers", "hashes")
     return whole.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(run, "a binary, b binary").distinct()
 
@@ -273,7 +286,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     classes = work.materialize(
         sketch.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes"
     )
-    banded = classes.select("sid", F.explode("bands").alias("key"))
+    banded = classes.select("sid", "n_shingles", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # Aggregates are written before they are joined: else Spark can't split a hot key's rows.
     members = work.materialize(banded.join(work.materialize(buckets, "buckets"), "key"), "members")
@@ -282,7 +295,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     wanted = active.select("sid", "row_key")
     if active.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key")).join(wanted, "row_key").select("sid", "text")
+    texts = docs.select(F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key")).join(wanted, "row_key").select("sid", "text")
     sets = append_from_text(texts, "text", [StructField("own", BinaryType()), StructField("hashes", BinaryType())], lambda c: _sets_batch(c, shingle), ["sid"])
     sets = work.materialize(sets.where("sid = own").select("sid", "hashes").dropDuplicates(["sid"]), "sets")
 
@@ -295,11 +308,11 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     tried = work.materialize(_confirmed(tried, sets, percent), "tried")
     found = connected_components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), work, "first")
 
-    labelled = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
+    labelled = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n_shingles", F.coalesce("component", "sid").alias("component"))
     labelled = work.materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     mixed = work.materialize(mixed, "mixed")
-    dealt = work.materialize(_across(labelled.join(mixed, "key")), "dealt")
+    dealt = work.materialize(_across(labelled.join(mixed, "key"), work), "dealt")
     late = work.materialize(_joining(dealt, active.select("sid", "registers").join(sets, "sid"), threshold, percent), "late")
     if not late.isEmpty():
         named = found.withColumnRenamed("component", "c")
@@ -315,7 +328,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     names = work.materialize(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "names")
     own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
     named = rows.join(names, "component", "left").select("id", "row_key", "n_shingles", "component", own.alias("component_id"))
-    work.drop("classes", "members", "active", "sets", "labelled", "dealt")
+    work.drop("classes", "buckets", "members", "active", "sets", "centres", "labelled", "mixed", "hubs", "sides", "blocks", "dealt")
     return named.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -341,7 +354,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     gone = Workspace(docs.sparkSession, "neardup").materialize(gone, "gone")
     if gone.count() <= MOST_BROADCAST:  # else the texts are shuffled
         gone = F.broadcast(gone)
-    return docs.join(gone, F.xxhash64(id_col, text_col) == F.col("__row_key"), "left_anti")
+    return docs.join(gone, _row_key(id_col, text_col) == F.col("__row_key"), "left_anti")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,7 +373,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_co
     again = other.where("__again").select("__row_key")
     if other.count() <= MOST_BROADCAST:  # else the texts are shuffled
         other, again = F.broadcast(other), F.broadcast(again)
-    key = F.xxhash64(id_col, text_col) == F.col("__row_key")
+    key = _row_key(id_col, text_col) == F.col("__row_key")
     left = docs.join(other, key, "left_anti")
     if again.isEmpty():
         return left
