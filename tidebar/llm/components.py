@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 
-def _large_star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+def _large_star(edges: DataFrame, work: Workspace, name: str, rows: int) -> DataFrame:
     """Every larger neighbour of u is linked to u's smallest neighbour (or u)."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    least = work.materialize(least, name)  # written before it is joined, so that a hot node's edges can be split
+    least = work.materialize(least, name, rows)  # written before it is joined, so that a hot node's edges can be split
     return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+def _small_star(edges: DataFrame, work: Workspace, name: str, rows: int) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them. Edges have u > v."""
-    least = work.materialize(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+    least = work.materialize(edges.groupBy("u").agg(F.min("v").alias("m")), name, rows)
     down = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFr
     now, step = work.materialize(now, f"{name}-0"), 0
     while not _stars(now):
         step += 1
-        large = work.materialize(_large_star(now, work, f"{name}-least-{step}"), f"{name}-large-{step}")
-        now = work.materialize(_small_star(large, work, f"{name}-small-{step}"), f"{name}-{step}")
+        rows = 2 * now.count()
+        large = work.materialize(_large_star(now, work, f"{name}-least-{step}", rows), f"{name}-large-{step}", rows)
+        now = work.materialize(_small_star(large, work, f"{name}-small-{step}", rows), f"{name}-{step}", rows)
         work.drop(f"{name}-{step - 1}", f"{name}-least-{step}", f"{name}-large-{step}", f"{name}-small-{step}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -58,13 +58,13 @@ def _places(words: DataFrame, singles: bool) -> DataFrame:
     return pairs.withColumn("key", F.explode(F.array(key, _pair_key(F.col("pair.w"), F.lit(None).cast("string"))))).drop("pair")
 
 
-def _block_hits(work: Workspace, words: DataFrame, keyed: DataFrame, singles: bool, block: int) -> DataFrame:
+def _block_hits(work: Workspace, words: DataFrame, keyed: DataFrame, rows: int, singles: bool, block: int) -> DataFrame:
     """(id, digest, window, start, stop): where the block's windows stand."""
     tokens = F.broadcast(keyed.select("key").distinct())
     frequency = _places(words.select("words"), singles).select("key").join(tokens, "key").groupBy("key").agg(F.count("*").alias("n"))
-    frequency = work.materialize(frequency, f"frequency-{block}")
+    frequency = work.materialize(frequency, f"frequency-{block}", rows)
     ranked = keyed.join(frequency, "key", "left").groupBy("window", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset")).alias("rarest"))
-    prefix = work.materialize(ranked.where("rarest.n > 0").select("window", "win", "rarest.key", "rarest.offset"), f"prefix-{block}")
+    prefix = work.materialize(ranked.where("rarest.n > 0").select("window", "win", "rarest.key", "rarest.offset"), f"prefix-{block}", rows)
     start, size = F.col("at") - F.col("offset"), F.size("win")
     hits = _places(words, singles).join(F.broadcast(prefix), "key").where((start >= 0) & (start + size <= F.size("words")))
     hits = hits.where(F.slice("words", start + 1, size) == F.col("win"))
@@ -82,10 +82,11 @@ def _hit_documents(docs: DataFrame, benchmark: DataFrame, window: int, id_col: s
     element = lambda i: F.get("win", i)
     keyed = keyed.withColumn("key", _pair_key(element(F.col("offset")), element(F.col("offset") + 1)))
 
-    n_blocks = max(1, -(-distinct.count() * window // (BLOCK_WINDOWS * WINDOW)))
+    n_places = distinct.count() * window
+    n_blocks = max(1, -(-n_places // (BLOCK_WINDOWS * WINDOW)))
     singles = not owned.where(F.size("win") == 1).isEmpty()
     words = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest"), words_of(F.col("text")).alias("words"))
-    found = [_block_hits(work, words, keyed.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k), singles, k) for k in range(n_blocks)]
+    found = [_block_hits(work, words, keyed.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k), n_places, singles, k) for k in range(n_blocks)]
     hits = reduce(DataFrame.unionByName, found)
 
     document = ["id", "digest"]

@@ -27,12 +27,14 @@ RANGE_ROWS = 4096
 #: Tables of leaves and of ranges are broadcast up to this many rows.
 MOST_BROADCAST = 50_000
 NONE = "(none)"
-SPACE = r"[\x20\x09-\x0D]+"
+#: A word with the space about it, its first character apart; or space alone. White space is ASCII's.
+_S = r"\x20\x09-\x0D"
+WORD = rf"[{_S}]*+([^{_S}])[^{_S}]*+[{_S}]*+|[{_S}]++"
 
 
 def count_words(text: Column) -> Column:
     """Words between ASCII white space; 0 for a null."""
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")).cast("long")
+    return F.coalesce(F.char_length(F.regexp_replace(text, WORD, "$1")), F.lit(0)).cast("long")
 
 
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Column], budget: int) -> DataFrame:
@@ -82,7 +84,7 @@ def mix_sources(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights:
         budget = int((leaves.agg(F.sum("total")).first()[0] or 0) * budget_share)
     digits = F.ceil(F.log(F.greatest(F.col("n") / RANGE_ROWS, F.lit(1.0))) / F.log(F.lit(16.0))).cast("int")
     plan = budgets(leaves, names, weights, budget).select(*names, "leaf_budget", F.expr("leaf_budget div total").cast("int").alias("__whole"), (F.col("leaf_budget") % F.col("total")).alias("__rest"), digits.alias("__digits"))
-    plan = work.materialize(plan, "plan")
+    plan = work.materialize(plan, "plan", leaves.count())
     bounded = lambda table: F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
     rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce("__id", F.lit("")), F.col("__digest")))

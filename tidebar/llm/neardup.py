@@ -188,7 +188,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _across(members: DataFrame, work: Workspace) -> DataFrame:
+def _across(members: DataFrame, work: Workspace, n_buckets: int, n_members: int) -> DataFrame:
     """(task, side, within, sid, component): what is compared between components
     that share a bucket.
 
@@ -201,12 +201,12 @@ def _across(members: DataFrame, work: Workspace) -> DataFrame:
 
     Aggregates are written before they are joined, so that a hot key's rows can be split."""
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    hubs = work.materialize(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("hub")), "hubs")
+    hubs = work.materialize(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("hub")), "hubs", n_buckets)
     rows = members.join(hubs, "key").select("hub", "sid", "n_shingles", "component").distinct().withColumn("minor", F.col("component") != F.col("hub"))
-    rows = work.materialize(rows, "sides")
+    rows = work.materialize(rows, "sides", n_members)
     size = lambda c: F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(c, F.col("n_shingles"))) * 8 / BLOCK_BYTES, F.lit(1))
     blocks = lambda c: F.ceil(size(c)).cast("int")
-    stats = work.materialize(rows.groupBy("hub").agg(blocks(~F.col("minor")).alias("majors"), blocks(F.col("minor")).alias("minors")), "blocks")
+    stats = work.materialize(rows.groupBy("hub").agg(blocks(~F.col("minor")).alias("majors"), blocks(F.col("minor")).alias("minors")), "blocks", n_buckets)
     block = F.pmod(F.xxhash64("sid"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
     rows = rows.join(stats, "hub").withColumn("block", block)
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -278,29 +278,32 @@ def _joining(dealt: DataFrame, classes: DataFrame, threshold: float, percent: in
     return whole.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, row_key, n_shingles, component, component_id, kept)."""
+def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, row_key, n_shingles, component, component_id, kept), and how many rows."""
     spark, threshold = docs.sparkSession, percent / 100
     work = Workspace(spark, "neardup")
     sketch = work.materialize(sketch_documents(docs, id_col, text_col, shingle), "sketch")
+    n = sketch.count()
     classes = work.materialize(
-        sketch.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes"
+        sketch.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes", n
     )
     banded = classes.select("sid", "n_shingles", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # Aggregates are written before they are joined: else Spark can't split a hot key's rows.
-    members = work.materialize(banded.join(work.materialize(buckets, "buckets"), "key"), "members")
-    active = work.materialize(classes.join(members.select("sid").distinct(), "sid").select("sid", "row_key", "n_shingles", "registers"), "active")
+    buckets = work.materialize(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", n * REGISTERS // ROWS // 2)
+    n_buckets, n_members = buckets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    members = work.materialize(banded.join(buckets.select("key"), "key"), "members", n_members)
+    active = work.materialize(classes.join(members.select("sid").distinct(), "sid").select("sid", "row_key", "n_shingles", "registers"), "active", n)
+    n_active = active.count()
 
     wanted = active.select("sid", "row_key")
-    if active.count() <= MOST_BROADCAST:
+    if n_active <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key")).join(wanted, "row_key").select("sid", "text")
     sets = append_from_text(texts, "text", [StructField("own", BinaryType()), StructField("hashes", BinaryType())], lambda c: _sets_batch(c, shingle), ["sid"])
-    sets = work.materialize(sets.where("sid = own").select("sid", "hashes").dropDuplicates(["sid"]), "sets")
+    sets = work.materialize(sets.where("sid = own").select("sid", "hashes").dropDuplicates(["sid"]), "sets", n_active)
 
     centres = members.groupBy("key").agg(F.min("sid").alias("b"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid")).alias("other"))
-    stars = members.join(work.materialize(centres, "centres"), "key")
+    stars = members.join(work.materialize(centres, "centres", n_buckets), "key")
     stars = stars.select(F.col("sid").alias("a"), "b").union(stars.select(F.col("sid").alias("a"), F.col("other.sid").alias("b"))).where("a != b").distinct()
     rated = _estimated(stars, active, threshold)
     best = rated.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False), 1, CENTRES).alias("best"))  # at most two centres a band
@@ -309,27 +312,27 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     found = connected_components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), work, "first")
 
     labelled = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n_shingles", F.coalesce("component", "sid").alias("component"))
-    labelled = work.materialize(labelled, "labelled")
+    labelled = work.materialize(labelled, "labelled", n_members)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    mixed = work.materialize(mixed, "mixed")
-    dealt = work.materialize(_across(labelled.join(mixed, "key"), work), "dealt")
-    late = work.materialize(_joining(dealt, active.select("sid", "registers").join(sets, "sid"), threshold, percent), "late")
+    mixed = work.materialize(mixed, "mixed", n_buckets)
+    dealt = work.materialize(_across(labelled.join(mixed, "key"), work, n_buckets, n_members), "dealt")
+    late = work.materialize(_joining(dealt, active.select("sid", "registers").join(sets, "sid"), threshold, percent), "late", dealt.count())
     if not late.isEmpty():
         named = found.withColumnRenamed("component", "c")
         ends = [named.select(F.col("node").alias(x), F.col("c").alias(c)) for x, c in (("a", "u"), ("b", "v"))]
         joins = late.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
         merged = connected_components(joins, work, "last")
-        merged = work.materialize(merged.withColumnRenamed("component", "to"), "merged")
+        merged = work.materialize(merged.withColumnRenamed("component", "to"), "merged", n_active)
         old = found.union(merged.join(found.select(F.col("component").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component")))
         found = old.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
     rows = sketch.select("id", "row_key", "n_shingles", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    rows = work.materialize(rows.select("id", "row_key", "n_shingles", "component"), "rows")
-    names = work.materialize(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "names")
+    rows = work.materialize(rows.select("id", "row_key", "n_shingles", "component"), "rows", n)
+    names = work.materialize(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id")), "names", n)
     own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
     named = rows.join(names, "component", "left").select("id", "row_key", "n_shingles", "component", own.alias("component_id"))
     work.drop("classes", "buckets", "members", "active", "sets", "centres", "labelled", "mixed", "hubs", "sides", "blocks", "dealt")
-    return named.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
+    return named.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())), n
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,14 +347,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     component; a component of null ids alone has a null component_id and all its
     rows are kept. Rows that repeat an id are each linked by their own text;
     copies of a row are kept alike. Other columns of ``docs`` are ignored."""
-    found = _classified(docs, shingle, percent, id_col, text_col)
+    found, _ = _classified(docs, shingle, percent, id_col, text_col)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``near_duplicates`` doesn't keep."""
-    gone = _classified(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("row_key").alias("__row_key")).distinct()
-    gone = Workspace(docs.sparkSession, "neardup").materialize(gone, "gone")
+    found, n = _classified(docs, shingle, percent, id_col, text_col)
+    gone = found.where("not kept").select(F.col("row_key").alias("__row_key")).distinct()
+    gone = Workspace(docs.sparkSession, "neardup").materialize(gone, "gone", n)
     if gone.count() <= MOST_BROADCAST:  # else the texts are shuffled
         gone = F.broadcast(gone)
     return docs.join(gone, _row_key(id_col, text_col) == F.col("__row_key"), "left_anti")
@@ -364,12 +368,13 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_co
     that repeat both, the least by all columns, which must have an order. Null,
     empty and blank texts are in no group: all their rows stay."""
     work = Workspace(docs.sparkSession, "neardup")
-    rows = _classified(docs, shingle, percent, id_col, text_col).where("component is not null")
-    keyed = work.materialize(rows.groupBy("component", "row_key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "keyed")
-    first = work.materialize(keyed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first")), "first")
+    found, n = _classified(docs, shingle, percent, id_col, text_col)
+    rows = found.where("component is not null")
+    keyed = work.materialize(rows.groupBy("component", "row_key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "keyed", n)
+    first = work.materialize(keyed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first")), "first", n)
     same = F.col("row_key") == F.col("first.row_key")
     other = keyed.join(first, "component").where(~same | (F.col("n") > 1)).select(F.col("row_key").alias("__row_key"), same.alias("__again"))
-    other = work.materialize(other, "other")
+    other = work.materialize(other, "other", n)
     again = other.where("__again").select("__row_key")
     if other.count() <= MOST_BROADCAST:  # else the texts are shuffled
         other, again = F.broadcast(other), F.broadcast(again)
