@@ -15,7 +15,7 @@ from tidebar.llm.language import UNKNOWN, identify_language
 from tidebar.llm.linededup import drop_repeated_lines
 from tidebar.llm.neardup import keep_one_of_each
 from tidebar.llm.queries import mix_of
-from tidebar.llm.store import Workspace, read_table
+from tidebar.llm.store import Workspace, read_table, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose language is less probable than this go, as do those without one.
@@ -66,7 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = work.materialize(docs, str(k))
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch():
+            docs = work.materialize(stage(spark, docs, sf_dir), str(k))
+        if k:
+            work.drop(str(k - 1))
