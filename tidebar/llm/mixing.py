@@ -8,14 +8,16 @@ more than its subtree holds, a shortage reaches a parent's siblings only when
 its own siblings are full. Budgets are whole tokens, rounded down.
 
 A leaf then takes its budget as whole epochs and a token prefix of one more
-epoch, each epoch being ordered by a seeded hash of its documents. The prefix is
-found from sums over ranges of that hash, so a hot leaf's documents are sorted
-in ranges and never in one place.
+epoch, each epoch being ordered by a seeded hash of its documents. Where the
+prefix ends is found from sums over ranges of that hash and the one range that
+holds the end, so a hot leaf's documents are never sorted in one place. This
+works on a written table of counts and digests; texts are read once to make it
+and, where the mix has them, once more to be filtered. They cross no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +26,12 @@ from .store import Workspace
 
 #: Documents in a hash range, about.
 RANGE_ROWS = 4096
-#: Tables of leaves and of ranges are broadcast up to this many rows.
+#: Tables of leaves are broadcast up to this many rows.
 MOST_BROADCAST = 50_000
 NONE = "(none)"
 #: A word with the space about it, its first character apart; or space alone. White space is ASCII's.
 _S = r"\x20\x09-\x0D"
+HAS_WORD = rf"[^{_S}]"
 WORD = rf"[{_S}]*+([^{_S}])[^{_S}]*+[{_S}]*+|[{_S}]++"
 
 
@@ -69,34 +72,58 @@ def mix_sources(docs: DataFrame, levels: Sequence[tuple[str, Column]], weights:
     if it fits in its leaf's budget with all before it, so a leaf takes at most
     its budget and misses less than one document of it. Null, empty and blank
     texts have no tokens and are never chosen. Rows that repeat an id and text
-    are taken in turn, as other rows are. Columns of ``docs`` named as a level or
+    are taken in turn, as other rows are (at the prefix's end some of them). Columns of ``docs`` named as a level or
     output are replaced. An empty table gives an empty one."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "mixing")
+    work = Workspace(docs.sparkSession, "mixing")
     names = [name for name, _ in levels]
     made = [*names, "n_tokens", "epoch", "leaf_budget"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    counted = docs.select(*kept, *(F.coalesce(value, F.lit(NONE)).alias(name) for name, value in levels), (count_words(F.col(text_col)) if tokens is None else tokens).alias("n_tokens"), F.col(id_col).cast("string").alias("__id"), F.md5(F.col(text_col)).alias("__digest"))
-    counted = counted.where(F.col("n_tokens") > 0)
+    with_text = text_col in kept
+    keys = [*(F.coalesce(value, F.lit(NONE)).alias(name) for name, value in levels), F.col(id_col).cast("string").alias("__id"), F.md5(F.col(text_col)).alias("__digest")]
+    count = (count_words(F.col(text_col)) if tokens is None else tokens).alias("n_tokens")
+    counted = work.materialize(docs.select(*([] if with_text else kept), *keys, count).where("n_tokens > 0"), "counted")
+
     leaves = counted.groupBy(*names).agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n")).withColumn("capacity", F.col("total") * epochs)
     leaves = work.materialize(leaves, "leaves")
+    n_leaves = leaves.count()
+    bounded = lambda table: F.broadcast(table) if n_leaves <= MOST_BROADCAST else table
     if budget is None:
         budget = int((leaves.agg(F.sum("total")).first()[0] or 0) * budget_share)
     digits = F.ceil(F.log(F.greatest(F.col("n") / RANGE_ROWS, F.lit(1.0))) / F.log(F.lit(16.0))).cast("int")
     plan = budgets(leaves, names, weights, budget).select(*names, "leaf_budget", F.expr("leaf_budget div total").cast("int").alias("__whole"), (F.col("leaf_budget") % F.col("total")).alias("__rest"), digits.alias("__digits"))
-    plan = work.materialize(plan, "plan", leaves.count())
-    bounded = lambda table: F.broadcast(table) if table.count() <= MOST_BROADCAST else table
-
+    plan = work.materialize(plan, "plan", n_leaves)
     rank = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce("__id", F.lit("")), F.col("__digest")))
+    cuts = work.materialize(_cuts(counted, plan, names, rank, bounded, work), "cuts", n_leaves)
+
+    # Counts of texts are taken again of the chosen ones alone.
+    late = with_text and tokens is None
+    rows = docs.select(*kept, *keys, *([] if late else [count])) if with_text else counted
+    rows = rows.where(F.col(text_col).rlike(HAS_WORD) if late else F.col("n_tokens") > 0)
+    placed = rows.join(bounded(cuts), names).withColumn("__rank", rank)
+    inside = F.coalesce((F.col("__rank") < F.col("__upto")) | (F.col("__all") & (F.col("__rank") == F.col("__upto"))), F.lit(False))
+    n = F.col("__whole") + inside.cast("int")
+    out = [*kept, *names, count if late else F.col("n_tokens")]
+    chosen = placed.where(n > 0).select(*out, F.explode(F.sequence(F.lit(0), n - 1)).alias("epoch"), "leaf_budget")
+    if cuts.where(~F.col("__all")).isEmpty():
+        return chosen
+    # Some rows of a text that is repeated where the prefix ends.
+    tied = placed.where(~F.col("__all") & (F.col("__rank") == F.col("__upto"))).withColumn("__turn", F.row_number().over(Window.partitionBy(*names).orderBy("__digest")))
+    return chosen.unionByName(tied.where("__turn <= __take").select(*out, F.col("__whole").alias("epoch"), "leaf_budget"))
+
+
+def _cuts(counted: DataFrame, plan: DataFrame, names: list[str], rank: Column, bounded: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
+    """``plan`` with where each leaf's prefix ends: the ranks before __upto are in it, and of
+    those equal to it all rows (__all) or __take. A null __upto: nothing is."""
     placed = counted.join(bounded(plan), names).withColumn("__rank", rank).withColumn("__range", F.substring("__rank", F.lit(1), F.col("__digits")))
-    sums = placed.groupBy(*names, "__range").agg(F.sum("n_tokens").alias("size"), F.first("__rest").alias("rest"))
+    sums = placed.groupBy(*names, "__range").agg(F.sum("n_tokens").alias("size"), F.first("__rest").alias("rest"), F.max("__rank").alias("top"))
     upto = Window.partitionBy(*names).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("end", F.sum("size").over(upto)).select(*names, "__range", (F.col("end") - F.col("size")).alias("__begin"), (F.col("end") <= F.col("rest")).alias("__all"))
-    sums = work.materialize(sums, "ranges")
-    placed = placed.join(bounded(sums), [*names, "__range"])
-    entire = placed.where("__all")
-    within = Window.partitionBy(*names, "__range").orderBy("__rank").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where(~F.col("__all") & (F.col("__begin") < F.col("__rest"))).withColumn("__end", F.col("__begin") + F.sum("n_tokens").over(within)).where("__end <= __rest").drop("__end")
-    last = entire.unionByName(edge).select(*kept, *names, "n_tokens", F.col("__whole").alias("epoch"), "leaf_budget")
-    before = counted.join(bounded(plan), names).where("__whole > 0").select(*kept, *names, "n_tokens", F.explode(F.sequence(F.lit(0), F.col("__whole") - 1)).alias("epoch"), "leaf_budget")
-    return last.unionByName(before)
+    sums = work.materialize(sums.withColumn("end", F.sum("size").over(upto)), "ranges")
+    entire = sums.where("end <= rest").groupBy(*names).agg(F.max("top").alias("top"))
+    edge = sums.where("end > rest and end - size < rest").select(*names, "__range", (F.col("end") - F.col("size")).alias("__begin"))
+    within = Window.partitionBy(*names).orderBy("__rank").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.join(bounded(edge), [*names, "__range"]).withColumn("taken", F.col("__begin") + F.sum("n_tokens").over(within) <= F.col("__rest"))
+    last = ends.groupBy(*names, "__rank").agg(F.count("*").alias("m"), F.count_if("taken").alias("k")).where("k > 0")
+    last = last.groupBy(*names).agg(F.max(F.struct("__rank", "m", "k")).alias("last"))
+    found = plan.join(entire, names, "left").join(last, names, "left")
+    everything = F.coalesce(F.col("last.k") == F.col("last.m"), F.lit(True))
+    return found.select(*plan.columns, F.coalesce("last.__rank", "top").alias("__upto"), everything.alias("__all"), F.col("last.k").alias("__take"))
