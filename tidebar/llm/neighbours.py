@@ -3,28 +3,38 @@
 Fitted on a bounded sample: its neighbour graph is divided into parts of equal
 size (recursive halving along a principal direction, then moves to the part most
 neighbours are in, as room allows); a small network learns which parts a
-vector's neighbours are in. Every row is indexed under its most probable part.
+vector's neighbours are in. Where a part holds more than SPLIT_ROWS rows, it is
+divided again in the same way, by a model of its own that a task fits on a
+bounded sample of the part. Every row is indexed under its most probable part.
 A query goes to as many of its most probable parts as reached ``recall`` on the
-sample, and is compared there with every row, in blocks.
+sample, and to more where those hold too few rows, and is compared there with
+every row, in blocks.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrowmap import bound_batches
 from .labelled import drawn_share
 from .store import Workspace
 
-#: Rows of the sample, about; they are drawn by a hash of the id.
+#: Rows of a sample, about; they are drawn by a hash of id and vector.
 SAMPLE_ROWS = 12_000
-PART_ROWS = 1_024
-MOST_PARTS = 256
+#: Rows of a part, about, and parts of one model at most.
+PART_ROWS = 128
+MOST_PARTS = 128
+#: Parts of more rows are divided again. With two levels, parts of up to this many
+#: rows suffice for MOST_PARTS * MOST_PARTS * SPLIT_ROWS (134 million) rows; in larger
+#: tables the parts themselves grow, and are searched in more blocks.
+SPLIT_ROWS = 8_192
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 96
 #: Rows and queries compared in one task step at most.
@@ -44,6 +54,42 @@ class PartitionModel:
         return np.maximum(_unit(x) @ a + b, 0) @ c + d
 
 
+@dataclass
+class PartitionTree:
+    """A part's number is that of the root's part times MOST_PARTS, and the child's part."""
+
+    root: PartitionModel
+    children: dict[int, PartitionModel] = field(default_factory=dict)
+    rows: dict[int, int] = field(default_factory=dict)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        part = self.root.parts(x).argmax(axis=1)
+        own = np.zeros_like(part)
+        for p in self.children.keys() & set(part.tolist()):
+            at = np.flatnonzero(part == p)
+            own[at] = self.children[p].parts(x[at]).argmax(axis=1)
+        return (part * MOST_PARTS + own).astype(np.int32)
+
+    def searched(self, x: np.ndarray, need: np.ndarray) -> list[list[int]]:
+        """The parts each query goes to: the most probable, and then whole parts
+        of the root until those chosen hold ``need`` rows, or all."""
+        order = np.argsort(-self.root.parts(x), axis=1, kind="stable")
+        chosen: list[list[int]] = [[] for _ in x]
+        for p in np.unique(order[:, : self.root.probes]).tolist():
+            at = np.flatnonzero((order[:, : self.root.probes] == p).any(axis=1))
+            child = self.children.get(p)
+            best = np.argsort(-child.parts(x[at]), axis=1, kind="stable")[:, : child.probes] if child else np.zeros((len(at), 1), np.int64)
+            for i, own in zip(at.tolist(), best.tolist(), strict=True):
+                chosen[i] += [p * MOST_PARTS + c for c in own]
+        for i, parts in enumerate(chosen):
+            held, later = sum(self.rows.get(p, 0) for p in parts), iter(order[i].tolist())
+            while held < need[i] and (p := next(later, None)) is not None:
+                more = sorted({q for q in range(p * MOST_PARTS, (p + 1) * MOST_PARTS) if q in self.rows} - set(parts))
+                parts += more
+                held += sum(self.rows[q] for q in more)
+        return [[p for p in parts if p in self.rows] for parts in chosen]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
@@ -145,7 +191,10 @@ def fit_partitions(sample: np.ndarray, rows: int, k: int, recall: float, seed: i
 
 
 def _rows(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column.to_pylist()]) if len(column) else np.zeros((0, 1))
+    """Vectors of one length, without nulls, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -174,46 +223,79 @@ def deal_parts(counts: dict[int, int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _children(indexed: DataFrame, rows: dict[int, int], k: int, recall: float, sample_rows: int, split_rows: int) -> dict[int, PartitionModel]:
+    """A model for each part of more than ``split_rows`` rows, fitted in tasks; MOST_PARTS models of some 100 kB at most."""
+    shares = [(p, min(1.0, sample_rows / n), n) for p, n in rows.items() if n > split_rows]
+    wide = F.broadcast(indexed.sparkSession.createDataFrame(shares, "part int, share double, n long"))
+    drawn = F.pmod(F.xxhash64("id", "v", F.lit("children")), F.lit(1 << 40)) < F.col("share") * float(1 << 40) + 1
+    samples = indexed.join(wide, "part").where(drawn).select("part", "n", "id", "v").distinct()
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = _rows(table["v"])
+        model = fit_partitions(x, table["n"][0].as_py(), min(k, max(1, len(x) - 1)), recall)
+        return pa.table({"part": [table["part"][0].as_py()], "model": [pickle.dumps(model)]}, schema=pa.schema([("part", pa.int32()), ("model", pa.binary())]))
+
+    fitted = samples.groupBy("part").applyInArrow(fit, "part int, model binary").collect()
+    return {r.part // MOST_PARTS: pickle.loads(bytes(r.model)) for r in fitted}
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): the ``k`` nearest
     found of each query among the other rows, by largest inner product, ties to
     the smaller id.
 
     ``is_query``: condition on ``vectors``' columns. Vectors that are null,
     empty, zero or hold null or non-finite components, and rows of a null id,
-    take no part, nor do those of another length than most of the sample's.
-    Rows that repeat an id are candidates each (an id may be found once for each
-    of its vectors, and a query never finds rows of its own id); queries that
-    repeat an id are one query, of the vector that sorts first. Fewer candidates
-    than ``k``: all in the parts searched. An empty table gives an empty one.
-    The model is fitted on about ``sample_rows`` rows; every row is indexed."""
+    take no part, nor do those of another length than most have (the least such
+    length). Rows that repeat an id are candidates each (an id may be found once
+    for each of its vectors, and a query never finds rows of its own id); queries
+    that repeat an id are one query, of the vector that sorts first. A query finds
+    ``k`` rows, or all if there are fewer candidates. An empty table gives an empty
+    one. Models are fitted on about ``sample_rows`` rows each; every row is indexed."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     work = Workspace(spark, "neighbours")
     flagged = vectors.withColumn("__query", F.coalesce(is_query, F.lit(False)))
     rows = _usable(flagged, id_col, vector_col)
-    total, length = rows.agg(F.count("*"), F.mode(F.size("v"))).first()
+    total, length = rows.agg(F.count("*"), F.mode(F.size("v"), True)).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == length)
-    drawn = drawn_share(min(1.0, sample_rows / total), "id", "neighbours")
-    sample = _rows(rows.where(drawn).orderBy("id").select("v").toArrow()["v"].combine_chunks())
-    model = spark.sparkContext.broadcast(fit_partitions(sample, total, min(k, max(1, len(sample) - 1)), recall))
+    drawn = drawn_share(min(1.0, sample_rows / total), "neighbours", "id", "v")
+    sample = _rows(rows.where(drawn).select("id", "v").distinct().orderBy("id", "v").select("v").toArrow()["v"])
+    most = min(k, max(1, len(sample) - 1))
+    tree = PartitionTree(fit_partitions(sample, total, most, recall))
+
+    def indexed_by(tree: PartitionTree, name: str) -> DataFrame:
+        model = spark.sparkContext.broadcast(tree)
 
-    def routed(df: DataFrame, many: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
-                    odds = model.value.parts(_rows(batch.column(1)))
-                    best = np.argsort(-odds, axis=1, kind="stable")[:, : model.value.probes if many else 1]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "v", "parts"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.home(_rows(batch.column(1))))], names=["id", "v", "part"])
+
+        table = work.materialize(rows.mapInArrow(run, "id long, v array<double>, part int"), name)
+        tree.rows = {r.part: r["count"] for r in table.groupBy("part").count().collect()}  # at most MOST_PARTS squared
+        return table
+
+    indexed = indexed_by(tree, "index")
+    if max(tree.rows.values()) > split_rows:
+        tree.children = _children(indexed, tree.rows, most, recall, sample_rows, split_rows)
+        indexed = indexed_by(tree, "index-2")
+    dealt = F.broadcast(spark.createDataFrame(deal_parts(tree.rows), "part int, task int, blocks int"))
+    repeated = work.materialize(indexed.groupBy("id").agg(F.count("*").alias("own")).where("own > 1"), "repeated")
+    queries = _usable(flagged.where("__query"), id_col, vector_col).where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"))
+    queries = queries.join(repeated, "id", "left").select("id", "v", (F.coalesce("own", F.lit(1)) + k).alias("need"))
+    model = spark.sparkContext.broadcast(tree)
 
-        return df.mapInArrow(run, "id long, v array<double>, parts array<int>")
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                parts = model.value.searched(_rows(batch.column(1)), batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], names=["id", "v", "parts"])
 
-    indexed = work.materialize(routed(rows, False).select("id", "v", F.col("parts")[0].alias("part")), "index")
-    counts = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}  # at most MOST_PARTS rows
-    dealt = F.broadcast(spark.createDataFrame(deal_parts(counts), "part int, task int, blocks int"))
-    queries = _usable(flagged.where("__query"), id_col, vector_col).where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"))
-    asked = routed(queries, True).select("id", "v", F.explode("parts").alias("part")).join(dealt, "part")
+    asked = queries.mapInArrow(route, "id long, v array<double>, parts array<int>").select("id", "v", F.explode("parts").alias("part")).join(dealt, "part")
     asked = asked.select(F.explode(F.sequence(F.col("task"), F.col("task") + F.col("blocks") - 1)).alias("task"), F.lit(0).alias("kind"), "part", "id", "v")
     held = indexed.join(dealt, "part").select((F.col("task") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int").alias("task"), F.lit(1).alias("kind"), "part", "id", "v")
     both = asked.unionByName(held).repartition(F.col("task")).sortWithinPartitions("task", "kind", "part")
