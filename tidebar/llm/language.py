@@ -75,7 +75,8 @@ def identify_language(docs: DataFrame, held_out: Column | None = None, text_col:
 
     The model is fitted on about ``most_rows`` rows and ``most_bytes`` bytes at
     most of those with a non-null id, text and language that aren't in
-    ``held_out``. A text that is null, empty or without a letter, or any text if
+    ``held_out``. Texts over a sixteenth of the bytes aren't learned from; rows that
+    repeat id, text and language are learned from once. A text that is null, empty or without a letter, or any text if
     nothing could be learned, gets ``und`` and 0. Ties go to the language first
     in sorted order. Rows stay as many as they are, repeated ones included;
     columns of ``docs`` named lang_pred or score are replaced. Texts of any

@@ -61,7 +61,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, label: s
     whose id has a non-null label and isn't in ``held_out``. A null, empty or
     unseen text has no known feature: its score is the intercept's (0.5 if
     there were no labels). Repeated rows each get the same score; an id with
-    several labels counts once for each; columns of ``docs`` named score or
+    several labels counts once for each; repeated rows are learned from once, texts
+    over a sixteenth of the bytes not at all; columns of ``docs`` named score or
     predicted are replaced. Texts of any length are scored whole."""
     sample = labelled_sample(docs, labels, label, held_out, id_col, text_col, most_rows, most_bytes)
     model = docs.sparkSession.sparkContext.broadcast(fit_quality_model(sample))
