@@ -38,7 +38,7 @@ SPLIT_ROWS = 8_192
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 96
 #: Rows and queries compared in one task step at most.
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 2_048
 
 
 @dataclass
