@@ -1,13 +1,16 @@
-"""License scans: anchor words of templates, then banded alignment.
-
-A template of n words that must be covered by m may miss n - m words. So of its
-n - m + r rarest word places, any alignment that counts matches r, on near
-diagonals (word place less template place). These anchors are the inverted
-index; a document's words, all of them, are looked up in it, and r hits within a
-band's width make a candidate region: no alignment at the least coverage or
-above lacks one, wherever words are changed, left out or put in. A banded
-alignment of the template with the region reports the words matched in order
-and their span.
+"""License scans: winnowed fingerprints of templates, then banded alignment.
+
+A template of n words of which m must be matched may miss e = n - m. So e changes
+leave a run of t = ceil(m / (e + 1)) words unbroken somewhere. A template's
+fingerprints are hashes of its k-word grams, k = min(K, t), winnowed over windows
+of t - k + 1 grams: each window keeps its least hash (the last of equal ones), so
+every run of t words holds a fingerprint. The fingerprints are the inverted
+index; all of a document's grams are looked up in it. Since one change breaks at
+most as many fingerprints as cover one word, a long template must show several,
+on near diagonals (word place less template place): these make a candidate
+region. No alignment with e changes or fewer (words left out, changed or put in)
+lacks one. A banded alignment of the template with the region reports the words
+matched in order and their span.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 from . import textgrams as T
 from .arrowmap import append_from_text
 
-#: Templates of fewer words aren't looked for.
+#: Words of a fingerprint's gram at most; templates of fewer words aren't looked for.
 K = 3
 #: An alignment may drift from its diagonal, either way, by a quarter of the template's words, this many at most.
 BAND = 8
@@ -51,39 +54,59 @@ class TemplateIndex:
     names: list[str]
     words: list[np.ndarray]
     least: np.ndarray  # words that must match
-    need: np.ndarray  # anchors among them
-    keys: np.ndarray  # sorted distinct anchor words
+    need: np.ndarray  # fingerprints that must be found
+    sizes: list[int]  # words of grams in use
+    keys: np.ndarray  # sorted distinct fingerprints
     first: np.ndarray  # of each key's entries, and the end
     template: np.ndarray  # of each entry
     place: np.ndarray
 
 
-def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths in bytes."""
+def _words(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
-    tokens = T.Tokens(data, np.array([0, len(data)]), T.WORDS)
-    return tokens.hash, tokens.end - tokens.start
+    return T.Tokens(data, np.array([0, len(data)]), T.WORDS).hash
+
+
+def _grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k consecutive words."""
+    acc = np.full(max(0, len(words) - k + 1), k, np.uint64)
+    for i in range(k):
+        acc = T.mix(acc * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i])
+    return acc
+
+
+def winnow(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least gram of each window, the last of equal ones."""
+    if len(grams) <= window:
+        return np.array([len(grams) - 1 - int(grams[::-1].argmin())] if len(grams) else [], np.int64)
+    shifted = np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1]
+    return np.unique(np.arange(len(shifted)) + window - 1 - shifted.argmin(axis=1))
 
 
 def build_index(templates: dict[str, str], minimum: float = MIN_COVERAGE) -> TemplateIndex:
     names = sorted(templates)
-    words, sizes = zip(*(_words(templates[n]) for n in names), strict=True) if names else ((), ())
+    words = [_words(templates[n]) for n in names]
     if sum(map(len, words)) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates hold over {MOST_TEMPLATE_WORDS} words")
-    seen, often = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_counts=True)
-    least, need, entries = [], [], [np.zeros((0, 3), np.uint64)]
-    for t, (own, size) in enumerate(zip(words, sizes, strict=True)):
-        m = max(1, math.ceil(minimum * len(own) - 1e-9))
-        r = min(m, max(2, m // 4))
+    least, need, sizes, entries = [], [], set(), [np.zeros((0, 3), np.uint64)]
+    for t, own in enumerate(words):
+        n = len(own)
+        m = max(1, math.ceil(minimum * n - 1e-9))
+        run = max(1, -(-m // (n - m + 1)))
+        k = min(K, run)
+        at = winnow(_grams(own, k), run - k + 1)
+        covers = np.zeros(n + k, np.int64)
+        for i in range(k):
+            covers[at + i] += 1
         least.append(m)
-        need.append(r)
-        if K <= len(own) >= m:
-            rarest = np.lexsort((np.arange(len(own)), -size, often[np.searchsorted(seen, own)]))[: len(own) - m + r]
-            entries.append(np.stack((own[rarest], np.full(len(rarest), t, np.uint64), rarest.astype(np.uint64)), axis=1))
+        need.append(max(1, len(at) - (n - m + _band(n)) * int(covers.max(initial=1))))
+        if K <= n >= m:
+            sizes.add(k)
+            entries.append(np.stack((_grams(own, k)[at], np.full(len(at), t, np.uint64), at.astype(np.uint64)), axis=1))
     rows = np.concatenate(entries)
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
     keys, first = np.unique(rows[:, 0], return_index=True)
-    return TemplateIndex(names, list(words), np.array(least, np.int64), np.array(need, np.int64), keys, np.append(first, len(rows)), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64))
+    return TemplateIndex(names, words, np.array(least, np.int64), np.array(need, np.int64), sorted(sizes), keys, np.append(first, len(rows)), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64))
 
 
 def _band(n: int) -> int:
@@ -119,12 +142,19 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, floor: int = 0
 
 def _candidates(tokens: T.Tokens, index: TemplateIndex) -> dict[tuple[int, int], list[int]]:
     """(document, template) to the diagonals, ascending and in places of the block,
-    about which enough anchors could lie."""
+    about which enough fingerprints could lie."""
     if not len(index.keys) or not len(tokens.hash):
         return {}
-    at = np.minimum(np.searchsorted(index.keys, tokens.hash), len(index.keys) - 1)
-    hit = np.flatnonzero(index.keys[at] == tokens.hash)
-    start, n = index.first[at[hit]], index.first[at[hit] + 1] - index.first[at[hit]]
+    hits, found_at = [], []
+    for k in index.sizes:
+        grams = _grams(tokens.hash, k)
+        at = np.minimum(np.searchsorted(index.keys, grams), len(index.keys) - 1)
+        hit = np.flatnonzero(index.keys[at] == grams)
+        whole = np.searchsorted(tokens.first, hit, "right") == np.searchsorted(tokens.first, hit + k - 1, "right")  # in one document
+        hits.append(hit[whole])
+        found_at.append(at[hit[whole]])
+    hit, key = np.concatenate(hits), np.concatenate(found_at)
+    start, n = index.first[key], index.first[key + 1] - index.first[key]
     entry = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
     place, t = np.repeat(hit, n), index.template[entry]
     diagonal = place - index.place[entry]
