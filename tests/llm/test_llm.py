@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle_check import assert_same, database
-from tidebar.llm import textgrams
+from tidebar.llm import decontaminate, linededup, mixing, neardup, neighbours, textgrams
 from tidebar.llm.components import connected_components
 from tidebar.llm.decontaminate import contamination, drop_contaminated
-from tidebar.llm.labelled import held_out_fold
+from tidebar.llm.labelled import held_out_fold, labelled_sample
 from tidebar.llm.language import identify_language
 from tidebar.llm.licenses import MIN_COVERAGE, NOTICES, TEMPLATES, build_index, scan_batch, scan_licenses
 from tidebar.llm.linededup import drop_repeated_lines
@@ -28,6 +28,7 @@ from tidebar.llm.store import Workspace
 from tidebar.llm.tokencount import count_tokens
 from tidebar.llm.toxicity import score_toxicity
 
+SMALL = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 LONG = "lorem ipsum dolor sit amet " * 20_000
 
@@ -156,9 +157,131 @@ def test_neighbours_leave_unusable_vectors_out(spark):
     assert nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def recall(spark, sf_dir, k, **options):
+    """Of op3's rule against brute force, and the answers' lengths."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = nearest(vectors, F.col("vec_id") % k == 0, k=20, **options).toPandas()
+    rows = [(r.vec_id, np.asarray(r.embedding, float)) for r in vectors.collect() if r.embedding is not None]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    right = n = 0
+    for q, found in got.groupby("query_id").vec_id:
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        top = set(ids[np.lexsort((ids, -s))[:20]])
+        right, n = right + len(top & set(found)), n + len(top)
+    return right / n, set(got.groupby("query_id").size())
+
+
+def test_op3_reaches_its_recall_on_its_table(spark):
+    found = recall(spark, "/root/testdata/sf0.1", 20)
+    assert found[0] >= 0.9 and found[1] == {20}
+    assert neighbours.fit_partitions(np.random.default_rng(0).normal(size=(2000, 64)), 2000, 20, 0.97).layers  # not exhaustive
+    divided = recall(spark, "/root/testdata/sf0.1", 20, split_rows=200)
+    assert divided[0] >= 0.9 and divided[1] == {20}
+
+
+def test_neighbours_are_k_however_small_the_parts(spark):
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 100 == 0, k=400, recall=0.01).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {q: 400 for q in range(0, 600, 100)}
+    same = nearest(df.where("vec_id = 0"), F.lit(True), k=5)
+    assert same.count() == 0
+
+
 # 4 to 6. Classifiers
 
 
+def letters_of(text):
+    return "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+
+
+def test_naive_bayes_against_dictionaries(spark):
+    rng = np.random.default_rng(0)
+    words = {"en": ["the", "river", "and", "stone"], "de": ["der", "fluß", "und", "stein"], "fr": ["la", "rivière", "et", "pierre"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i in range(60) for lang in [list(words)[i % 3]]]
+    mixed = [(100, "the fluß et pierre", None), (101, "und", None), (102, "stone, stein; la", None)]
+    got = {r.doc_id: r for r in identify_language(spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")).collect()}
+    counts = {x: collections.Counter() for x in words}
+    grams = lambda t: [t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)]
+    for _, text, lang in rows:
+        counts[lang].update(grams(letters_of(text)))
+    for doc_id, text, _ in rows + mixed:
+        total = {x: np.log(1 / 3) + sum(np.log((counts[x][g] + 1) / (sum(counts[x].values()) + 2**16)) for g in grams(letters_of(text))) for x in words}
+        best = max(sorted(words), key=total.get)
+        assert got[doc_id].lang_pred == best
+        assert got[doc_id].score == pytest.approx(1 / sum(np.exp(v - total[best]) for v in total.values()), abs=2e-3)
+
+
+def plain_ftrl(rows, labels, alpha, l1, epochs, positive_weight=1.0):
+    """Follow the regularised leader, a feature at a time; features are any keys, None the intercept."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else (np.sign(z[f]) * l1 - z[f]) * alpha / (1.0 + n[f] ** 0.5)
+    order = np.random.default_rng(0)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            x = rows[i] | {None: 1.0}
+            w = {f: weight(f) for f in x}
+            error = (1 / (1 + np.exp(-sum(w[f] * v for f, v in x.items()))) - labels[i]) * (positive_weight if labels[i] else 1.0)
+            for f, v in x.items():
+                g = error * v
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w[f]
+                n[f] += g * g
+    return lambda x: 1 / (1 + np.exp(-sum(weight(f) * v for f, v in (x | {None: 1.0}).items())))
+
+
+def labelled_texts():
+    rng = np.random.default_rng(8)
+    vocabulary = ["amber", "birch", "cedar", "dune", "ember", "fjord"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 4 if i % 3 else 6], 8))) for i in range(90)]
+    return rows, [int(i % 3 == 0) for i in range(90)]
+
+
+def test_quality_against_a_plain_model(spark):
+    rows, labels = labelled_texts()
+
+    def features(text):
+        words = text.split()
+        count = collections.Counter(words) + collections.Counter(zip(words, words[1:]))
+        norm = sum(v * v for v in count.values()) ** 0.5
+        return {f: v / norm for f, v in count.items()}
+
+    by_text = sorted((i, t, y) for (i, t), y in zip(rows, labels))
+    model = plain_ftrl([features(t) for _, t, _ in by_text], [y for _, _, y in by_text], 2.0, 0.05, 4)
+    got = score_quality(table(spark, rows), table(spark, list(zip(range(90), labels)), "doc_id long, quality int"), F.lit(False)).collect()
+    for r in got:
+        assert r.score == pytest.approx(model(features(r.text)), abs=1e-4)
+
+
+def test_toxicity_against_a_plain_model(spark):
+    rows, labels = labelled_texts()
+    grams = lambda t: {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+    sets = [grams(letters_of(t)) for _, t in rows]
+    count = collections.Counter((g, y) for s, y in zip(sets, labels) for g in s)
+    toxic, share = sum(labels), sum(labels) / len(labels)
+    ratio = {}
+    for g in {g for s in sets for g in s}:
+        n = count[g, 1] + count[g, 0]
+        if n >= 3 and abs(count[g, 1] - n * share) >= 4 * (n * share * (1 - share)) ** 0.5:
+            ratio[g] = 0.3 * (np.log((count[g, 1] + 1) / (toxic + 2)) - np.log((count[g, 0] + 1) / (90 - toxic + 2)))
+    scaled = lambda s: {g: ratio[g] for g in s if g in ratio}
+    model = plain_ftrl([scaled(s) for s in sets], labels, 0.5, 0.1, 4, 4.0)
+    got = score_toxicity(table(spark, rows), table(spark, list(zip(range(90), labels)), "doc_id long, toxic int"), F.lit(False)).collect()
+    for r in got:
+        assert r.score == pytest.approx(model(scaled(grams(letters_of(r.text)))), abs=1e-4)
+
+
+def test_samples_of_one_repeated_id_are_bounded(spark):
+    """Many texts under one id are drawn in part; many copies of one row count once."""
+    for doc_id in (1, 2, 3, 4):
+        many = spark.range(20_000).select(F.lit(doc_id).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+        assert 300 < labelled_sample(many, None, "lang", F.lit(False), most_rows=500).num_rows < 800
+        same = spark.range(5000).select(F.lit(doc_id).alias("doc_id"), F.lit("one text").alias("text"))
+        labels = spark.range(300).select(F.lit(doc_id).alias("doc_id"), F.lit(1).alias("quality"))
+        assert labelled_sample(same, labels, "quality", F.lit(False), most_rows=500).to_pylist() == [{"text": "one text", "label": 1}]
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op4_language_id"](spark, sf_dir).join(truth, "doc_id").toPandas()
@@ -270,6 +393,47 @@ def test_mixing_against_brute_force(spark):
     assert mix_sources(df.where("false"), [("domain", F.col("domain"))], [F.lit(1)]).count() == 0
 
 
+def test_mixing_takes_repeated_rows_in_turn(spark):
+    """A prefix may end within copies of one row; texts come out whole, with or without them in the mix."""
+    df = table(spark, [(1, "a b c d")] * 50 + [(2, None), (3, "  ")])
+    for keep in (["doc_id"], ["doc_id", "text"]):
+        got = mix_sources(df, [("leaf", F.lit("x"))], [F.lit(1)], budget=90, epochs=2, keep=keep).collect()
+        assert len(got) == 22 and {(r.doc_id, r.n_tokens, r.epoch) for r in got} == {(1, 4, 0)}
+        got = mix_sources(df, [("leaf", F.lit("x"))], [F.lit(1)], budget=290, epochs=2, keep=keep).collect()
+        assert collections.Counter(r.epoch for r in got) == {0: 50, 1: 22}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_beyond_every_bound(spark, monkeypatch, name):
+    """With no broadcasts, and benchmark windows in several blocks, the same rows."""
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 300)
+    monkeypatch.setattr(linededup, "MOST_DOCUMENTS", 0)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert_same(QUERIES[name](spark, SMALL), ORACLE_SQL[name], database(SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_near_duplicates_and_pipeline_stages_beyond_every_bound(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    rows = copies(np.random.default_rng(6))
+    docs = table(spark, rows).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    run = lambda: [sorted(((r.doc_id, r.text) for r in f(docs).collect()), key=str) for f in (keep_one_of_each, drop_near_duplicates, drop_repeated_lines, lambda d: P.decontamination_stage(spark, d, SMALL))]
+    within = run()
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(linededup, "MOST_DOCUMENTS", 0)
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    assert run() == within
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, shingle=2).collect()), key=str) == brute_components(rows, 2, 80)
+
+
 # 8. Line dedup
 
 
@@ -288,6 +452,16 @@ def test_line_dedup_cases(spark):
     assert drop_repeated_lines(crowded(spark, rows).where("false")).count() == 0
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    """Texts of 100,000 distinct lines that share 1,000, made where they are read."""
+    line = lambda i: F.concat(F.lit("line "), F.when((F.col("id") == 2) & (i >= 1000) & (i < 2000), i).otherwise(i + F.col("id") * 100_000).cast("string"))
+    df = spark.range(1, 3, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99_999)), line), "\n").alias("text"))
+    short = table(spark, [(3, "\n".join(f"line {i}" for i in range(500, 1500)))])
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text_length) for r in drop_repeated_lines(df.union(short)).withColumn("text_length", F.length("text")).drop("text").collect()}
+    assert got[1][:2] == (100_000, 0) and got[2][:2] == (100_000, 0)
+    assert got[3] == (1000, 500, len("\n".join(f"line {i}" for i in range(500, 1000))))
+
+
 # 9. Near duplicates
 
 
@@ -309,8 +483,7 @@ def brute_components(rows, shingle, percent):
     return sorted(((d, len(s), least.get(g) if s else d) for (d, _), s, g in zip(rows, sets, group)), key=str)
 
 
-def test_near_duplicates_against_brute_force(spark):
-    rng = np.random.default_rng(4)
+def copies(rng):
     rows = list(ODD)
     for g in range(12):
         words = [f"w{v}" for v in rng.integers(0, 5000, 80)]
@@ -319,6 +492,11 @@ def test_near_duplicates_against_brute_force(spark):
             for p in rng.integers(0, 80, int(rng.integers(0, 9))):
                 copy[p] = f"x{int(rng.integers(0, 10**6))}"
             rows.append((1000 - len(rows), " ".join(copy)))
+    return rows
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rows = copies(np.random.default_rng(4))
     df = crowded(spark, rows)
     got = near_duplicates(df, shingle=2).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 2, 80)
@@ -380,6 +558,38 @@ def test_licenses_are_found_with_spans(spark):
 # The pipeline
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_licenses_against_longest_common_subsequences():
+    """Random prose of a template's words, with an edited copy in it or not."""
+    rng = np.random.default_rng(2)
+    text = NOTICES["ISC-grant"]
+    words = [w.lower() for w in re.findall(r"[A-Za-z0-9]+", text)]
+    n, index = len(words), build_index({"x": text})
+    least = -(-len(words) * 4 // 5)
+    for trial in range(60):
+        around = [list(rng.choice(sorted(set(words)), int(rng.integers(5, 60)))) for _ in range(2)]
+        copy, changes = list(words), int(rng.integers(0, n - least + 1))
+        for _ in range(changes):
+            p, kind = int(rng.integers(0, len(copy))), int(rng.integers(0, 2))
+            copy[p : p + 1] = ["changed"] if kind else []
+        own = around[0] + (copy if trial % 3 else []) + around[1]
+        most = max(longest_common(words, own[s : s + n + 8]) for s in range(max(1, len(own) - n)))
+        found = scan_batch(pa.array([" ".join(own)]), index)[0].to_pylist()[0]
+        if trial % 3:
+            assert found and found[0]["matched"] >= n - changes
+            assert found[0]["matched"] <= longest_common(words, " ".join(own)[found[0]["start"] : found[0]["stop"]].split())
+        elif most < least:
+            assert not found
+
+
 def test_standard_licenses_are_found():
     """Headers, a warranty alone, whole texts with other line breaks, and prose that only uses their words."""
     cases = {
@@ -413,6 +623,22 @@ def test_licenses_changed_as_far_as_allowed_are_found():
             assert name in {f["license"] for f in found}, (name, x)
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, repeats, an empty table, and columns that clash."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 else "s", None) for k, (i, t) in enumerate(ODD)] + [(None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, schema)
+    for docs in (odd, odd.where("false"), odd.withColumns({"score": F.lit(1), "lang_pred": F.lit(2), "n_removed": F.lit(3), "epoch": F.lit(4)})):
+        left = docs
+        for k, (_, stage) in enumerate(P.STAGES):
+            left = Workspace(spark, "test").materialize(stage(spark, left, SMALL), str(k))
+            assert k == 4 or left.columns == odd.columns
+        kept = {r.doc_id for r in left.collect()}
+        assert kept <= {4, 5, 7, 8, None} and (docs.isEmpty() or kept)
+
+
 def test_pipeline_stages_keep_clean_documents(spark, sf_dir):
     import corpus_pipeline as P
 

@@ -29,12 +29,19 @@ UNKNOWN = "und"
 class LanguageModel:
     languages: list[str]
     log_prior: np.ndarray
-    log_probability: np.ndarray  # 2**BITS x languages, float32
+    log_probability: np.ndarray  # 2**BITS x languages, float32, and a row of zeros
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Buckets of the grams that begin at each character; 2**BITS for those that would end in another text."""
     points, first = T.characters(data, offsets)
-    return [T.char_grams(points, n, BITS) for n in ORDERS], first, points
+    grams = []
+    for n in ORDERS:
+        g = T.char_grams(points, n, BITS).astype(np.int64)
+        for k in range(1, n):
+            g[np.maximum(first[1:] - k, first[:-1])] = 1 << BITS
+        grams.append(g)
+    return grams, first, points
 
 
 def fit_language_model(sample: pa.Table) -> LanguageModel:
@@ -46,9 +53,10 @@ def fit_language_model(sample: pa.Table) -> LanguageModel:
         own = texts.take(pa.array(np.flatnonzero(labels == language)))
         for _, _, data, offsets in T.blocks(own):
             for g in _grams(data, offsets)[0]:
-                counts[:, k] += np.bincount(g, minlength=1 << BITS)
+                counts[:, k] += np.bincount(g, minlength=1 + (1 << BITS))[:-1]
     prior = np.array([(labels == x).sum() for x in languages] or [1], float)
-    return LanguageModel(languages, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    return LanguageModel(languages, np.log(prior / prior.sum()), np.append(table, np.zeros((1, table.shape[1]), np.float32), axis=0))
 
 
 def score_texts(texts: pa.Array, model: LanguageModel) -> list[pa.Array]:

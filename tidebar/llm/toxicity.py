@@ -47,8 +47,8 @@ def _distinct_grams(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterat
         for n in ORDERS:
             g = T.char_grams(points, n, BITS)
             inside = np.ones(len(g), bool) if wanted is None else wanted[g]
-            for k in range(2, n + 1):  # a gram ends in its own document: its last character isn't a later text's
-                inside[np.maximum(first[1:] - k, 0)] = False
+            for k in range(1, n):  # a gram ends in its own text, or with the blank behind it
+                inside[np.maximum(first[1:] - k, first[:-1])] = False
             at = np.flatnonzero(inside)
             runs.append((g[at], np.searchsorted(at, first)))
         for d in range(len(first) - 1):
