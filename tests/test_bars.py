@@ -103,8 +103,9 @@ def test_latch_and_pyramiding_match_their_loops(spark):
 
 @pytest.mark.parametrize("pick", ["ml", "micro", "channel", "context", "stats"])
 def test_features_never_look_ahead(spark, frame, pick):
-    chosen = {"ml": X.ml_columns, "micro": X.microstructure, "channel": lambda: X.linreg_channel(30), "context": X.regime_context, "stats": lambda: X.rolling_stats(["close"])}[pick]()
-    whole, part = (of(X.with_base(to_spark(spark, f)).select("symbol", "bar_idx", *(v.alias(k) for k, v in chosen.items()))) for f in (frame, frame[frame.bar_idx < 150]))
+    columns = lambda chosen: lambda df: df.withColumns(chosen)
+    add = {"ml": columns(X.ml_columns()), "micro": X.with_microstructure, "channel": lambda df: X.with_linreg_channel(df, n=30), "context": columns(X.regime_context()), "stats": columns(X.rolling_stats(["close"]))}[pick]
+    whole, part = (of(add(X.with_base(to_spark(spark, f)))) for f in (frame, frame[frame.bar_idx < 150]))
     pd.testing.assert_frame_equal(whole[whole.bar_idx < 150], part, rtol=1e-9, atol=1e-12)
 
 
@@ -165,7 +166,7 @@ def test_as_of_takes_the_latest_not_after(spark, bars, frame):
 
 def test_registered_as_of_join_asks_every_bar(spark, sf_dir):
     asked = QUERIES["bars_resampled"](spark, sf_dir).select("symbol", "bar_idx").toPandas()
-    got = QUERIES["as_of_join_whole"](spark, sf_dir).toPandas()
+    got = QUERIES["as_of_join"](spark, sf_dir).toPandas()
     assert set(zip(got.symbol, got.bar_idx)) == set(zip(asked.symbol, asked.bar_idx)) and len(got) == len(asked)
     assert {int(i) % 7 for i in got.known_idx.dropna()} == set(range(7))
 
@@ -210,7 +211,7 @@ def test_equity_identities(bars):
 def test_quantile_bins_edges(spark):
     df = spark.createDataFrame([(0.5, 1)] * 5 + [(0.6, 1)] * 5 + [(None, 1)], "prob double, signal int")
     got = B.quantile_bins(df, bins=4).groupBy("prob_bin").count().toPandas()
-    assert got["count"].sum() == 11 and set(got.prob_bin.dropna()) == {0}
+    assert got["count"].sum() == 11 and set(got.prob_bin.dropna()) == {0, 1}
     one = B.quantile_bins(spark.createDataFrame([(0.7,)] * 3, "prob double")).toPandas()
     assert (one.prob_bin == 0).all()
     assert B.quantile_bins(df.where("false")).count() == 0

@@ -71,11 +71,17 @@ class Policy:
     seed: int = 42
 
 
+def _only(*regimes: str) -> dict[str, bool]:
+    return {r: r in regimes for r in REGIMES}
+
+
+#: The regimes each named profile allows longs and shorts in.
 PROFILES: dict[str, Policy] = {
     "default": Policy(),
-    "long_only": Policy(disable_shorts=True),
-    "both_sides": Policy(long={"trend_up": True, "trend_down": True, "chop": False}, short={"trend_up": True, "trend_down": True, "chop": False}),
-    "all_regimes": Policy(long=dict.fromkeys(REGIMES, True), short=dict.fromkeys(REGIMES, True), skip_chop=False),
+    "trend_up_only": Policy(long=_only("trend_up"), short=_only(), disable_shorts=True),
+    "short_only": Policy(long=_only(), short=_only("trend_down")),
+    "full": Policy(long=_only("trend_up"), short=_only("trend_down")),
+    "full_aggressive": Policy(long=_only("trend_up", "chop"), short=_only("trend_down", "chop"), skip_chop=False),
 }
 
 

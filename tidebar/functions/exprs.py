@@ -8,7 +8,7 @@ and every division by zero is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY, TIME = "symbol", "ts"
@@ -59,6 +59,25 @@ def _rolling(f, x: Column | str, n: int, need: int | None) -> Column:
     return value if need <= 1 else F.when(F.count(col(x)).over(rows(n)) >= need, value)
 
 
+class Shared:
+    """Window aggregates that several columns use: each is named and computed once,
+    in a projection of its own; the columns are arithmetic over them."""
+
+    def __init__(self) -> None:
+        self.made: dict[str, Column] = {}
+
+    def over(self, name: str, aggregate: Column, n: int) -> Column:
+        self.made.setdefault(f"__{name}_{n}", aggregate.over(rows(n)))
+        return F.col(f"__{name}_{n}")
+
+    def full(self, f, name: str, x: Column | str, n: int) -> Column:
+        """``f`` of x, null until the window holds n values. ``name`` stands for x."""
+        return F.when(self.over(f"n_{name}", F.count(col(x)), n) >= n, self.over(f"{f.__name__}_{name}", f(col(x)), n))
+
+    def add(self, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        return df.withColumns(self.made).withColumns(columns).drop(*self.made)
+
+
 def mean(x, n: int, need: int | None = None) -> Column:
     return _rolling(F.avg, x, n, need)
 

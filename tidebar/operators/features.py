@@ -93,28 +93,31 @@ def regime_context() -> dict[str, Column]:
     return {"atr14_norm": ratio(a14, "close"), "atr50_norm": ratio(a50, "close"), "atr_ratio": ratio(a14, a50), "vol20": v20, "vol100": v100, "vol_ratio": ratio(v20, v100), "trend_slope_20": s20, "trend_slope_50": s50, "trend_sign": sign(s20)}
 
 
-def microstructure(windows: tuple[int, ...] = CONTEXT_WINDOWS) -> dict[str, Column]:
-    """Liquidity, pressure and range volatility for each window."""
+def with_microstructure(df: DataFrame, prefix: str = "", windows: tuple[int, ...] = CONTEXT_WINDOWS) -> DataFrame:
+    """Adds liquidity, pressure and range volatility for each window."""
     r, v = F.col("ret_1"), F.col("volume")
     impact, illiquidity = F.abs(F.col("change")) / F.col("volume_safe"), F.abs(r) / F.col("volume_safe")
     parkinson = F.pow(F.col("log_hl"), 2) / (4 * LN2)
     garman = F.col("log_hl") * F.col("log_hl") * 0.5 - (2 * LN2 - 1) * F.col("log_co") * F.col("log_co")
     rogers = F.col("log_ho") * F.col("log_hc") + F.col("log_lo") * F.col("log_lc")
-    out: dict[str, Column] = {}
+    both = r.isNotNull() & F.col("ret_lag").isNotNull()
+    x, y = F.when(both, r), F.when(both, F.col("ret_lag"))
+    shared, out = E.Shared(), {}
     for n in windows:
         k = 0.34 / (1.34 + (n + 1) / (n - 1))
-        yang = E.variance("log_oc1", n) + k * E.variance("log_co", n) + (1 - k) * E.mean(rogers, n)
-        pairs = F.when(r.isNotNull() & F.col("ret_lag").isNotNull(), 1)
+        volume, variance = shared.full(F.sum, "volume", "volume", n), shared.full(F.var_samp, "ret_1", "ret_1", n)
+        yang = shared.full(F.var_samp, "oc1", "log_oc1", n) + k * shared.full(F.var_samp, "co", "log_co", n) + (1 - k) * shared.full(F.avg, "rogers", rogers, n)
+        apart = shared.over("sd_x", F.stddev_pop(x), n) * shared.over("sd_y", F.stddev_pop(y), n)
         out |= {
-            f"amihud_{n}": E.mean(illiquidity, n), f"impact_per_vol_{n}": E.mean(impact, n), f"volume_ratio_{n}": ratio(v, E.mean("volume", n)),
-            f"signed_vol_imbalance_{n}": ratio(E.total(F.signum(r) * v, n), E.total("volume", n)),
-            f"up_vol_ratio_{n}": ratio(E.total(F.when(r > 0, v).otherwise(0.0), n), E.total("volume", n)),
-            f"parkinson_vol_{n}": F.sqrt(E.mean(parkinson, n)), f"gk_vol_{n}": F.sqrt(E.mean(E.clip(garman, 0.0), n)), f"yz_vol_{n}": F.sqrt(E.clip(yang, 0.0)),
-            f"return_autocorr_1_{n}": F.when(F.count(pairs).over(E.rows(n)) >= n, E.correlation("ret_1", "ret_lag", E.rows(n))),
-            f"variance_ratio_{n}_k2": ratio(E.variance("ret_2", n), 2 * E.variance("ret_1", n)),
-            f"drawdown_min_{n}": E.lowest("drawdown", n), f"return_min_{n}": E.lowest("ret_1", n),
+            f"amihud_{n}": shared.full(F.avg, "illiquidity", illiquidity, n), f"impact_per_vol_{n}": shared.full(F.avg, "impact", impact, n), f"volume_ratio_{n}": ratio(v, volume / n),
+            f"signed_vol_imbalance_{n}": ratio(shared.full(F.sum, "signed", F.signum(r) * v, n), volume),
+            f"up_vol_ratio_{n}": ratio(shared.full(F.sum, "up", F.when(r > 0, v).otherwise(0.0), n), volume),
+            f"parkinson_vol_{n}": F.sqrt(shared.full(F.avg, "parkinson", parkinson, n)), f"gk_vol_{n}": F.sqrt(shared.full(F.avg, "garman", E.clip(garman, 0.0), n)), f"yz_vol_{n}": F.sqrt(E.clip(yang, 0.0)),
+            f"return_autocorr_1_{n}": F.when(shared.over("n_pairs", F.count(x), n) >= n, ratio(shared.over("covar", F.covar_pop(x, y), n), apart)),
+            f"variance_ratio_{n}_k2": ratio(shared.full(F.var_samp, "ret_2", "ret_2", n), 2 * variance),
+            f"drawdown_min_{n}": shared.full(F.min, "drawdown", "drawdown", n), f"return_min_{n}": shared.full(F.min, "ret_1", "ret_1", n),
         }
-    return out
+    return shared.add(df, {f"{prefix}{c}": x for c, x in out.items()})
 
 
 def drawdown_islands(df: DataFrame) -> DataFrame:
@@ -124,16 +127,19 @@ def drawdown_islands(df: DataFrame) -> DataFrame:
     return df.withColumns({"drawdown_depth": F.col("drawdown"), "drawdown_duration": place.cast("double")}).drop("__island")
 
 
-def linreg_channel(n: int = 100, width: float = 2.0) -> dict[str, Column]:
-    """Least-squares line of the last n closes and its band."""
+def with_linreg_channel(df: DataFrame, prefix: str = "", n: int = 100, width: float = 2.0) -> DataFrame:
+    """Adds the least-squares line of the last n closes and its band: windows in
+    one projection, the line's deviation in the next, the band in the last."""
     x, y = F.col("bar_idx").cast("double"), F.col("close")
-    full = lambda c: F.when(F.count("close").over(E.rows(n)) >= n, c)
-    slope, middle = full(F.regr_slope(y, x).over(E.rows(n))), full(F.avg("close").over(E.rows(n)))
-    spread = F.var_pop("close").over(E.rows(n)) - slope * slope * F.var_pop(x).over(E.rows(n))
-    dev = full(F.sqrt(F.greatest(spread, F.lit(0.0))))
-    mid = middle + slope * ((n - 1) / 2.0)
-    band = 2 * width * dev
-    return {"lr_mid": mid, "lr_slope": slope, "lr_intercept": middle - slope * ((n - 1) / 2.0), "lr_dev": dev, "lr_upper": mid + width * dev, "lr_lower": mid - width * dev, "lr_width": band, "lr_pos": E.clip(ratio(y - (mid - width * dev), band), 0.0, 1.0)}
+    shared = E.Shared()
+    full = lambda c: F.when(shared.over("n_close", F.count(y), n) >= n, c)
+    slope, middle = full(shared.over("slope", F.regr_slope(y, x), n)), full(shared.over("middle", F.avg(y), n))
+    spread = shared.over("var_y", F.var_pop(y), n) - slope * slope * shared.over("var_x", F.var_pop(x), n)
+    half = (n - 1) / 2.0
+    df = shared.add(df, {f"{prefix}lr_slope": slope, f"{prefix}lr_mid": middle + slope * half, f"{prefix}lr_intercept": middle - slope * half, f"{prefix}lr_dev": full(F.sqrt(F.greatest(spread, F.lit(0.0))))})
+    mid, dev = F.col(f"{prefix}lr_mid"), F.col(f"{prefix}lr_dev")
+    low, band = mid - width * dev, 2 * width * dev
+    return df.withColumns({f"{prefix}lr_upper": mid + width * dev, f"{prefix}lr_lower": low, f"{prefix}lr_width": band, f"{prefix}lr_pos": E.clip(ratio(y - low, band), 0.0, 1.0)})
 
 
 def rolling_stats(columns: list[str], windows: tuple[int, ...] = (5, 20)) -> dict[str, Column]:

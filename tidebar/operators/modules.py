@@ -108,7 +108,7 @@ def pivots_rsi(df: DataFrame) -> DataFrame:
 
 
 def linreg(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"linreg_{k}": v for k, v in X.linreg_channel().items()})
+    return X.with_linreg_channel(df, "linreg_")
 
 
 def ohlcv(df: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def ohlcv(df: DataFrame) -> DataFrame:
     df = df.withColumns({"ohlcv_mem_vol": F.col("mem_vol"), "ohlcv_mem_vol_resid": F.ln(F.nullif("close", F.lit(0.0))) - F.col("mem_vol"), "ohlcv_mem_vol_slope": F.col("mem_vol") - E.lag("mem_vol")})
     df = df.withColumn("ohlcv_mem_vol_resid_norm", F.col("ohlcv_mem_vol_resid") / share)
     df = X.drawdown_islands(df).withColumnsRenamed({"drawdown_depth": "ohlcv_drawdown_depth", "drawdown_duration": "ohlcv_drawdown_duration"})
-    return df.withColumns({f"ohlcv_{k}": v for k, v in X.microstructure().items()})
+    return X.with_microstructure(df, "ohlcv_")
 
 
 MODULES = {

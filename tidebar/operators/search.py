@@ -53,7 +53,8 @@ class Arm:
 
 @dataclass
 class Bandit:
-    """Thompson sampling with a normal posterior for each arm."""
+    """Thompson sampling: an arm's deviation is at least ``prior``, over the root of
+    its plays and one; arms of too few plays come first, one of them at random."""
 
     arms: dict[str, Arm] = field(default_factory=dict)
     least_plays: int = 1
@@ -64,8 +65,8 @@ class Bandit:
         rng = random.Random(f"{self.seed}:{sum(a.n for a in self.arms.values())}")
         fresh = [n for n in names if self.arms.setdefault(n, Arm()).n < self.least_plays]
         if fresh:
-            return fresh[0]
-        draw = lambda a: rng.gauss(a.mean, math.sqrt((a.variance or self.prior**2) / max(1, a.n)))
+            return rng.choice(fresh)
+        draw = lambda a: rng.gauss(a.mean, max(math.sqrt(a.variance), self.prior) / math.sqrt(a.n + 1))
         return max(names, key=lambda n: draw(self.arms[n]))
 
 

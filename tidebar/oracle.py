@@ -220,10 +220,8 @@ _raw = BASE + f", r AS (SELECT *, CASE WHEN ret_1 > 0.5 THEN 1 ELSE 0 END AS lr,
 Q["pyramiding"] = pick(_raw, "i", {"sectionLongs": "sum(lr) OVER (PARTITION BY symbol, ns ORDER BY ts ROWS UNBOUNDED PRECEDING)", "sectionShorts": "sum(sr) OVER (PARTITION BY symbol, nl ORDER BY ts ROWS UNBOUNDED PRECEDING)"})
 _day = BARS + ", d AS (SELECT symbol, CAST(ts AS DATE) AS day, (max(high) + min(low) + arg_max(close, ts)) / 3 AS pv FROM b GROUP BY 1, 2), e AS (SELECT *, lag(pv) OVER (PARTITION BY symbol ORDER BY day) AS before FROM d)"
 Q["daily_pivot"] = pick(_day, "b JOIN e ON e.symbol = b.symbol AND e.day = CAST(b.ts AS DATE)", {'"pivot"': "pv", "pivot_prev_day": "before"}, keys="b.symbol, b.bar_idx")
-_asof = BARS + ", a AS (SELECT symbol, ts + INTERVAL 17 MINUTE AS ts, bar_idx FROM b WHERE bar_idx % 5 = 3), k AS (SELECT symbol, ts, close, bar_idx FROM b WHERE bar_idx % 7 = 0)"
-Q["as_of_join"] = pick(_asof, "a ASOF LEFT JOIN k ON a.symbol = k.symbol AND a.ts >= k.ts", {"known_close": "k.close", "known_idx": "k.bar_idx"}, keys="a.symbol, a.bar_idx")
 _whole = BARS + ", r AS (SELECT symbol, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS t FROM b GROUP BY 1, 2), a AS (SELECT symbol, t + INTERVAL 17 MINUTE AS ts, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS bar_idx FROM r)"
-Q["as_of_join_whole"] = pick(_whole, "a ASOF LEFT JOIN b ON a.symbol = b.symbol AND a.ts >= b.ts", {"known_close": "b.close", "known_idx": "b.bar_idx"}, keys="a.symbol, a.bar_idx")
+Q["as_of_join"] = pick(_whole, "a ASOF LEFT JOIN b ON a.symbol = b.symbol AND a.ts >= b.ts", {"known_close": "b.close", "known_idx": "b.bar_idx"}, keys="a.symbol, a.bar_idx")
 _lab = BARS + f", f AS (SELECT *, lead(close, 12) {over()} / nullif(close, 0) - 1 AS fr FROM b), s AS (SELECT *, avg(fr) {over(12)} AS sr FROM f)"
 Q["direction_labels"] = pick(_lab, "s", {"future_return": "fr", "smoothed_return": "sr", "blend_label": "CASE WHEN sr > 0.0016 THEN 1 WHEN sr < -0.0016 THEN -1 ELSE 0 END", "threshold": "0.0005", "effective_threshold": "0.0016", "round_trip_cost": "0.0011"})
 _lab2 = _lab + ", t AS (SELECT *, CASE WHEN sr > 0.0005 THEN 1 WHEN sr < -0.0005 THEN -1 ELSE 0 END AS blend_label FROM s)"

@@ -126,7 +126,8 @@ def rsi_sma(spark, sf_dir):
 
 @query
 def linreg_channel(spark, sf_dir):
-    return of_bars(S.hourly_bars(spark, sf_dir), X.linreg_channel(), 5)
+    names = ["lr_mid", "lr_slope", "lr_intercept", "lr_dev", "lr_upper", "lr_lower", "lr_width", "lr_pos"]
+    return of_bars(X.with_linreg_channel(S.hourly_bars(spark, sf_dir)), names, 5)
 
 
 @query
@@ -172,7 +173,9 @@ def regime_context(spark, sf_dir):
 
 @query
 def microstructure(spark, sf_dir):
-    return of_bars(base(spark, sf_dir), X.microstructure(), 5)
+    df = base(spark, sf_dir)
+    made = X.with_microstructure(df)
+    return of_bars(made, [c for c in made.columns if c not in df.columns], 5)
 
 
 @query
@@ -242,15 +245,6 @@ def daily_pivot(spark, sf_dir):
 
 @query
 def as_of_join(spark, sf_dir):
-    """A sparse case: one bar in five, 17 minutes on, with the last of one bar in seven. ``as_of_join_whole`` is over all bars."""
-    bars = S.hourly_bars(spark, sf_dir)
-    asked = bars.where(F.col("bar_idx") % 5 == 3).select("symbol", (F.col("ts") + F.expr("INTERVAL 17 MINUTES")).alias("ts"), "bar_idx")
-    known = bars.where(F.col("bar_idx") % 7 == 0).select("symbol", "ts", F.col("close").alias("known_close"), F.col("bar_idx").alias("known_idx"))
-    return of_bars(X.as_of(asked, known, ["known_close", "known_idx"]), ["known_close", "known_idx"])
-
-
-@query
-def as_of_join_whole(spark, sf_dir):
     """Every 6-hour bar, 17 minutes on, with the last of all hourly bars of its series."""
     bars = S.hourly_bars(spark, sf_dir)
     asked = S.numbered(S.resample(bars, "6 hours")).select("symbol", (F.col("ts") + F.expr("INTERVAL 17 MINUTES")).alias("ts"), "bar_idx")
@@ -271,7 +265,7 @@ def label_stats(spark, sf_dir):
 
 @query
 def regime_labels_rule(spark, sf_dir):
-    df = L.channel_regime(S.hourly_bars(spark, sf_dir).withColumns(X.linreg_channel(30)))
+    df = L.channel_regime(X.with_linreg_channel(S.hourly_bars(spark, sf_dir), n=30))
     return df.select("symbol", "bar_idx", "regime")
 
 
