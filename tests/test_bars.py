@@ -21,7 +21,7 @@ from tidebar.operators.models import Forest, calibrate, fit_forest, fit_scaler,
 from tidebar.plans.feature_plan import build, filtered
 from tidebar.queries import QUERIES
 from tidebar.sources import bars as S
-from tidebar.sources.sinks import cached_features
+from tidebar.sources.sinks import append_run, cached_features, read_text, run_log, write_json
 
 START = datetime(2024, 1, 1)
 
@@ -229,11 +229,34 @@ def test_expected_value_tiers(spark):
 
 def test_gates(spark):
     rows = spark.createDataFrame([("a", 0, 1, 0.5, "trend_up"), ("a", 1, 1, 0.4, "trend_up"), ("a", 2, -1, 0.9, "trend_up"), ("a", 3, -1, 0.9, "trend_down"), ("a", 4, 1, 0.9, "chop")], "symbol string, bar_idx long, signal int, prob double, regime string").withColumn("ev", F.lit(0.0))
-    got = [r.final_signal for r in G.gate(rows, Policy(short_cap=1.0)).orderBy("bar_idx").collect()]
+    got = [r.final_signal for r in G.gate(rows, Policy(short_cap=1.0, require_agreement=False)).orderBy("bar_idx").collect()]
     assert got == [1, 0, 0, -1, 0]
-    assert [r.final_signal for r in G.gate(rows, Policy(disable_shorts=True)).orderBy("bar_idx").collect()] == [1, 0, 0, 0, 0]
+    assert [r.final_signal for r in G.gate(rows, Policy(disable_shorts=True, require_agreement=False)).orderBy("bar_idx").collect()] == [1, 0, 0, 0, 0]
+    agreeing = rows.withColumns({"blend_signal": F.lit(-1), "blend_prob": F.when(F.col("bar_idx") == 3, 0.2).otherwise(0.3)})
+    assert [r.final_signal for r in G.gate(agreeing, Policy(short_cap=1.0)).orderBy("bar_idx").collect()] == [1, 0, 0, 0, 0]
+    with pytest.raises(ValueError):
+        G.gate(rows, Policy())
     with pytest.raises(KeyError):
         profile("none")
+    assert profile("full_aggressive").short == {"trend_up": False, "trend_down": True, "chop": True}
+
+
+def test_audit_warns_of_gaps_and_confidence(spark):
+    bars = to_spark(spark, random_bars(60, ("a",)))
+    log = B.equity_curve(B.with_returns(bars.withColumns({"signal": F.lit(1), "prob": F.lit(0.7), "ev": F.lit(-0.1)})))
+    found = T.audit(log)
+    assert found.passed and found.warnings == ["probabilities all alike", "no expected value above 0"]
+    assert T.audit(log.where("bar_idx < 20 or bar_idx > 40")).warnings[0] == "gaps of over three median steps"
+    assert not T.audit(log.unionByName(log.limit(1))).passed
+    assert not T.audit(log, strict=True).passed
+
+
+def test_records_are_written_where_spark_writes(spark, tmp_path):
+    write_json({"a": [1, "é"]}, f"file://{tmp_path}/x.json")
+    assert read_text(f"file://{tmp_path}/x.json").count("é") or "\\u00e9" in read_text(f"file://{tmp_path}/x.json")
+    for k in range(2):
+        append_run(spark, {"run": k}, f"file://{tmp_path}/runs")
+    assert sorted(r["run"] for r in run_log(spark, f"file://{tmp_path}/runs")) == [0, 1]
 
 
 def test_scalers_with_constant_columns(spark):

@@ -1,6 +1,8 @@
+from pyspark.sql import functions as F
+
 from tests.test_bars import random_bars, to_spark
 from tidebar.config import FeatureConfig, LabelConfig, SplitConfig
-from tidebar.engine import Models, backtest, cross_validate, histogram_points, infer, labelled_features, train_direction, train_window, validate_window
+from tidebar.engine import Models, backtest, cross_validate, histogram_points, infer, labelled_features, scored, train_direction, train_window, validate_window
 from tidebar.operators import splits
 from tidebar.operators.models import Forest
 
@@ -22,6 +24,18 @@ def test_train_validate_backtest_infer(spark, tmp_path):
     assert train_direction(rows, columns) is None
     assert train_direction(rows, columns, Forest(4, 3, 32), 50).labels == ["-1", "1"]
     assert [k for k, _ in cross_validate(rows, columns, "regime", 3, 6, Forest(4, 3, 32))] == [1, 2]
+    least = {"direction": 20, "regime_signal": 40, "regime_direction": 20}
+    many = train_window(parts.where("part = 'train'"), columns, Forest(4, 3, 32), least=least)
+    assert many.direction.labels == ["-1", "1"] and many.by_regime and many.direction_by_regime
+    many.save(f"file://{tmp_path}/n")
+    assert sorted(Models.load(f"file://{tmp_path}/n").direction_by_regime) == sorted(many.direction_by_regime)
+    df = scored(rows.drop("regime", "blend_label"), many).persist()
+    assert df.where("signal = 0 or prob < 0.5").isEmpty()  # a direction model has no flat class
+    own = df.where(F.col("regime") == sorted(many.by_regime)[0])
+    alone = many.by_regime[sorted(many.by_regime)[0]].probabilities(own, "alone").withColumn("alone", F.array_max("alone"))
+    assert alone.where("abs(alone - blend_prob) > 1e-9").isEmpty()
+    report = backtest(bars, many, SMALL)
+    assert report.audit.passed and report.ev_details.columns[-1] == "future_return" and report.cost_sanity.count() == 1
     report = backtest(bars, models, SMALL)
     assert report.curve.count() == 399 and report.metrics.count() == 1
     assert report.breakdown.where("level = 3").first().bars == 399

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import dataclasses
 import json
-import os
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -20,12 +19,14 @@ from pyspark.sql import functions as F
 from .config import CostModel, FeatureConfig, LabelConfig, Policy, SplitConfig
 from .functions.exprs import KEY, TIME
 from .operators import backtest as B
+from .operators import checks as T
 from .operators import gating as G
 from .operators import labels as L
 from .operators import models as M
 from .operators import splits as W
 from .plans.feature_plan import BARS, build
 from .sources.bars import between, tail
+from .sources.sinks import read_text, write_text
 
 #: Windows trained at once; each is a Spark job of its own.
 THREADS = 4
@@ -33,28 +34,32 @@ THREADS = 4
 
 @dataclass
 class Models:
-    """A regime model and a signal model, with signal models of single regimes."""
+    """A regime model, a signal model (long, short or flat) and a direction model
+    (long or short), the last two also of single regimes where rows sufficed."""
 
     columns: list[str]
     regime: M.Classifier
     signal: M.Classifier
     by_regime: dict[str, M.Classifier] = field(default_factory=dict)
+    direction: M.Classifier | None = None
+    direction_by_regime: dict[str, M.Classifier] = field(default_factory=dict)
 
-    def save(self, folder: str) -> None:
-        """Forests go to ``folder``; names and calibrators to JSON beside them."""
-        os.makedirs(folder, exist_ok=True)
+    def _parts(self) -> dict[str, M.Classifier]:
         parts = {"regime": self.regime, "signal": self.signal} | {f"signal_{k}": v for k, v in self.by_regime.items()}
-        for name, model in parts.items():
+        parts |= {"direction": self.direction} if self.direction else {}
+        return parts | {f"direction_{k}": v for k, v in self.direction_by_regime.items()}
+
+    def save(self, folder: str) -> None:
+        """Forests go to ``folder``, in any store that Spark writes to; names and calibrators to JSON beside them."""
+        for name, model in self._parts().items():
             model.save(f"{folder}/{name}", f"{folder}/{name}.json")
-        with open(f"{folder}/models.json", "w") as f:
-            json.dump({"columns": self.columns, "by_regime": sorted(self.by_regime)}, f)
+        write_text(f"{folder}/models.json", json.dumps({"columns": self.columns, "by_regime": sorted(self.by_regime), "direction": self.direction is not None, "direction_by_regime": sorted(self.direction_by_regime)}))
 
     @staticmethod
     def load(folder: str) -> Models:
-        with open(f"{folder}/models.json") as f:
-            kept = json.load(f)
+        kept = json.loads(read_text(f"{folder}/models.json"))
         read = lambda name: M.Classifier.load(f"{folder}/{name}", f"{folder}/{name}.json")
-        return Models(kept["columns"], read("regime"), read("signal"), {k: read(f"signal_{k}") for k in kept["by_regime"]})
+        return Models(kept["columns"], read("regime"), read("signal"), {k: read(f"signal_{k}") for k in kept["by_regime"]}, read("direction") if kept["direction"] else None, {k: read(f"direction_{k}") for k in kept["direction_by_regime"]})
 
 
 def labelled_features(bars: DataFrame, features: FeatureConfig, labels: LabelConfig) -> tuple[DataFrame, list[str]]:
@@ -65,13 +70,17 @@ def labelled_features(bars: DataFrame, features: FeatureConfig, labels: LabelCon
     return L.adx_regime(built).drop("adx_14"), columns
 
 
-def train_window(rows: DataFrame, columns: Sequence[str], forest: M.Forest = M.BLENDER_FOREST, method: str = "isotonic", alpha: float = 2.0) -> Models:
-    """Fit on labelled rows; calibrators are fitted on a stratified fifth held out."""
+def train_window(rows: DataFrame, columns: Sequence[str], forest: M.Forest = M.BLENDER_FOREST, method: str = "isotonic", alpha: float = 2.0, least: dict[str, int] = M.MINIMUM) -> Models:
+    """Fit on labelled rows; calibrators are fitted on a stratified fifth held out.
+    ``least``: fewest rows for a direction model and for models of single regimes."""
     parts = W.stratified(rows.withColumn("__label", F.col("blend_label").cast("string")), "__label").drop("__label")
     fit, held = parts.where("not held_out"), parts.where("held_out")
     regime = M.fit_forest(fit, list(columns), "regime", M.REGIME_FOREST if forest is M.BLENDER_FOREST else forest)
     signal = M.calibrate(M.fit_forest(fit, list(columns), "blend_label", forest), held, "blend_label", method, alpha)
-    return Models(list(columns), regime, signal, M.regime_models(fit, list(columns), "blend_label", M.MINIMUM["regime_signal"], forest))
+    by_regime = M.regime_models(fit, list(columns), "blend_label", least["regime_signal"], forest)
+    direction = train_direction(fit, columns, forest, least["direction"])
+    of_regimes = M.regime_models(fit.where("blend_label <> 0"), list(columns), "blend_label", least["regime_direction"], forest, ["-1", "1"])
+    return Models(list(columns), regime, signal, by_regime, direction, of_regimes if direction else {})
 
 
 def train_direction(rows: DataFrame, columns: Sequence[str], forest: M.Forest = M.BLENDER_FOREST, least: int = M.MINIMUM["direction"]) -> M.Classifier | None:
@@ -98,12 +107,22 @@ def cross_validate(rows: DataFrame, columns: Sequence[str], label: str, folds: i
 
 
 def scored(features: DataFrame, models: Models) -> DataFrame:
-    """Adds regime (predicted), signal and prob (of the signal's class) and confidence."""
+    """Adds regime (predicted), signal and prob (of the signal's class), blend_signal
+    and blend_prob (the signal model's), and confidence.
+
+    In a regime that has a signal or direction model of its own, that model
+    speaks. The direction model makes the signal; without one the signal model does."""
     df = models.regime.probabilities(features, "regime_probs")
     names = F.array(*(F.lit(x) for x in models.regime.labels))
     df = df.withColumn("regime", names[F.array_position("regime_probs", F.array_max("regime_probs")).cast("int") - 1])
-    df = models.signal.probabilities(df, "direction_probs")
+    df = M.by_regime(df, models.signal, models.by_regime, "blend_probs")
     classes = tuple(int(x) for x in models.signal.labels)
+    df = df.withColumns({"blend_signal": G.argmax_signal("blend_probs", classes), "blend_prob": F.array_max("blend_probs")})
+    if models.direction:
+        df = M.by_regime(df, models.direction, models.direction_by_regime, "direction_probs")
+        classes = tuple(int(x) for x in models.direction.labels)
+    else:
+        df = df.withColumn("direction_probs", F.col("blend_probs"))
     df = df.withColumns({"signal": G.argmax_signal("direction_probs", classes), "prob": F.array_max("direction_probs")})
     return df.withColumn("confidence", G.confidence())
 
@@ -148,6 +167,9 @@ class Backtest:
     breakdown: DataFrame
     costs: DataFrame
     calibration: DataFrame
+    ev_details: DataFrame
+    cost_sanity: DataFrame
+    audit: T.Audit
 
 
 def backtest(bars: DataFrame, models: Models, features: FeatureConfig = FeatureConfig(), policy: Policy = Policy(), bins: DataFrame | None = None, cost: CostModel = CostModel()) -> Backtest:
@@ -159,7 +181,8 @@ def backtest(bars: DataFrame, models: Models, features: FeatureConfig = FeatureC
     gated = G.gate(df, policy).select(*BARS, "regime", "prob", "ev", F.col("final_signal").alias("signal"))
     log = B.with_returns(gated, "signal", cost)
     curve = B.equity_curve(log)
-    return Backtest(log, curve, B.trade_segments(log), B.metrics(curve), B.breakdown(log), B.cost_percentiles(log), B.calibration_report(B.quantile_bins(log)))
+    trades = B.trade_segments(log)
+    return Backtest(log, curve, trades, B.metrics(curve), B.breakdown(log), B.cost_percentiles(log), B.calibration_report(B.quantile_bins(log)), B.ev_details(log), B.cost_sanity(log), T.audit(curve))
 
 
 def infer(bars: DataFrame, models: Models, features: FeatureConfig = FeatureConfig(), policy: Policy = Policy(), rows: int = 1) -> DataFrame:
@@ -170,8 +193,7 @@ def infer(bars: DataFrame, models: Models, features: FeatureConfig = FeatureConf
 
 def write_manifest(path: str, features: FeatureConfig, labels: LabelConfig, splits: SplitConfig, models: Models) -> None:
     parts = {"features": features, "labels": labels, "splits": splits}
-    with open(path, "w") as f:
-        json.dump({k: dataclasses.asdict(v) for k, v in parts.items()} | {"fingerprint": features.fingerprint(), "columns": models.columns, "written": datetime.now().isoformat()}, f, indent=2)
+    write_text(path, json.dumps({k: dataclasses.asdict(v) for k, v in parts.items()} | {"fingerprint": features.fingerprint(), "columns": models.columns, "written": datetime.now().isoformat()}, indent=2))
 
 
 def histogram_points(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

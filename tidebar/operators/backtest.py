@@ -124,6 +124,45 @@ def nonoverlap_metrics(trades: DataFrame, cost: CostModel = CostModel()) -> Data
     return trade_metrics(trades.where("trade_gross is not null").withColumn("net", F.col("trade_gross") - 2 * cost.per_side), "net", [KEY])
 
 
+def nonoverlap_return_metrics(trades: DataFrame, cost: CostModel = CostModel()) -> DataFrame:
+    """Of ``kernels.greedy_trades`` over all bars: a row for each series with every
+    figure of its non-overlapping trades, 0 where it has none. profit_factor is
+    null for gains without losses, 0 without either; rates are by bar."""
+    spent = 2 * cost.per_side
+    bars = trades.groupBy(KEY).agg(F.count("*").alias("n"))
+    taken = trades.where("trade_gross is not null").withColumns({"gross": F.col("trade_gross"), "pnl": F.col("trade_gross") - spent})
+    falls = drawdown_stats(equity_curve(taken))
+    like = lambda c: F.coalesce(F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(0.0))
+    grown = lambda c: F.product(1 + F.col(c)) - 1
+    returns = taken.groupBy(KEY).agg(
+        grown("pnl").alias("cumulative_return"), grown("gross").alias("gross_cumulative_return"), F.avg("pnl").alias("mean_return"), F.stddev_samp("pnl").alias("volatility"), like("pnl").alias("sharpe_like"),
+        F.avg("gross").alias("gross_mean_return"), F.stddev_samp("gross").alias("gross_volatility"), like("gross").alias("gross_sharpe_like"),
+    )
+    joined = bars.join(returns, KEY, "left").join(trade_metrics(taken, "pnl", [KEY]), KEY, "left").join(falls, KEY, "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    count, won = number("trades"), F.coalesce("win_rate", F.lit(0.0))
+    plain = ["cumulative_return", "gross_cumulative_return", "gross_mean_return", "gross_volatility", "gross_sharpe_like", "mean_return", "volatility", "sharpe_like", "win_rate"]
+    return joined.select(
+        KEY, count.alias("trade_count"), (count * spent).alias("total_cost"), (count / F.col("n")).alias("trade_rate"), (2.0 * count / F.col("n")).alias("turnover"),
+        *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in plain), (number("gross_cumulative_return") - number("cumulative_return")).alias("cost_impact"), number("avg_trade").alias("avg_trade_return"),
+        F.when((number("gross_loss") == 0) & (number("gross_profit") == 0), 0.0).otherwise(F.col("profit_factor")).alias("profit_factor"), (won * number("avg_win") + (1 - won) * number("avg_loss")).alias("expectancy"),
+        *(number(c).alias(c) for c in ("avg_win", "avg_loss", "gross_profit", "gross_loss", "max_drawdown", "max_drawdown_duration")),
+    )
+
+
+def ev_details(log: DataFrame) -> DataFrame:
+    """A row for each bar with a signal: when, regime, side, probability, expected value and what came."""
+    side = F.when(F.col("signal") > 0, "long").otherwise("short")
+    return log.where("signal <> 0").select(KEY, TIME, "bar_idx", "regime", side.alias("side"), "prob", "ev", "future_return")
+
+
+def cost_sanity(log: DataFrame) -> DataFrame:
+    """A row for each series: entries, bars held, costs in all and for each entry, and what was earned without and with them."""
+    entries = F.count_if((F.col("position") != 0) & (F.col("turn") != 0))
+    spent = F.sum("cost")
+    return log.groupBy(KEY).agg(entries.alias("entries"), F.count_if(F.col("position") != 0).alias("trade_bars"), spent.alias("total_cost"), (spent / F.nullif(entries, F.lit(0))).alias("avg_cost"), F.sum("pnl_raw").alias("raw_total"), F.sum("pnl").alias("net_total"))
+
+
 def return_metrics(log: DataFrame) -> DataFrame:
     """Per-bar mode: a row for each series of what a classifier's signals earn."""
     n = F.count("*")

@@ -127,7 +127,13 @@ class Audit:
 
 def audit(log: DataFrame, tolerance: float = 1e-3, strict: bool = False) -> Audit:
     """Checks a trade log (signal, position, future_return, pnl_raw, cost, pnl and,
-    if there, equity, prob, regime) with one aggregate; messages are made here."""
+    if there, symbol and ts, equity, prob, ev, regime) with one aggregate, after one
+    pass over each series where it has times; messages are made here.
+
+    Errors: values outside their range, infinite ones, repeated times, an equity
+    that isn't above 0. Warnings: missing or extreme values, gaps of over three
+    median steps, an equity that isn't correlated (0.99) with the product of pnl,
+    confidences that are all alike, expected values that are all missing or below 0."""
     needed = {"signal", "pnl", "pnl_raw", "cost", "future_return", "position"}
     if missing := needed - set(log.columns):
         return Audit([f"missing columns: {', '.join(sorted(missing))}"], [])
@@ -139,10 +145,21 @@ def audit(log: DataFrame, tolerance: float = 1e-3, strict: bool = False) -> Audi
         "pnl unlike return times position less cost": F.count_if(F.abs(F.col("pnl") - (F.col("position") * F.col("future_return") - F.col("cost"))) > tolerance),
     }
     soft = {"over 10% of returns missing": F.count_if(F.col("pnl").isNull()) > 0.1 * n}
+    if {KEY, TIME} <= set(log.columns):
+        step = F.col(TIME).cast("timestamp").cast("double") - E.lag(TIME).cast("timestamp").cast("double")
+        log = log.withColumns({"__step": step, "__equity": F.product(1 + F.coalesce("pnl", F.lit(0.0))).over(E.so_far())})
+        tests["repeated times"] = F.count_if(F.col("__step") == 0)
+        soft["gaps of over three median steps"] = F.max("__step") > 3 * F.percentile_approx("__step", F.lit(0.5))
+        if "equity" in log.columns:
+            soft["equity unlike the product of pnl"] = F.coalesce(E.correlation("equity", "__equity") < 0.99, F.lit(False))
     if "equity" in log.columns:
         tests["equity not above 0"] = F.count_if(F.col("equity") <= 0)
     if "prob" in log.columns:
         tests["probabilities outside 0 to 1"] = F.count_if((F.col("prob") < 0) | (F.col("prob") > 1))
+        soft["probabilities all alike"] = (n > 1) & (F.max("prob") == F.min("prob"))
+    if "ev" in log.columns:
+        tests["infinite expected values"] = F.count_if(F.abs("ev") == float("inf"))
+        soft["no expected value above 0"] = (F.count("ev") > 0) & (F.max("ev") <= 0)
     if "regime" in log.columns:
         tests["unknown regimes"] = F.count_if(~F.col("regime").isin("trend_up", "trend_down", "chop", "unknown"))
     row = log.agg(n.alias("n"), *(v.alias(k) for k, v in (tests | soft).items())).first().asDict()

@@ -50,15 +50,18 @@ def _side_allowed(policy: Policy) -> Column:
 
 def gate(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Adds final_signal. ``df``: signal, prob, regime, ev and, if agreement is
-    asked for, blend_signal and blend_prob. In order: chop, confidence,
-    agreement, expected value, side policy, shorts off, short cap."""
+    asked for, blend_signal and blend_prob (it is an error if they are missing).
+    In order: chop, confidence, agreement (of shorts alone), expected value, side
+    policy, shorts off, short cap."""
+    if policy.require_agreement and (missing := {"blend_signal", "blend_prob"} - set(df.columns)):
+        raise ValueError(f"the policy asks for agreement; missing: {', '.join(sorted(missing))}")
     trend = F.col("regime").isin("trend_up", "trend_down")
     needed = lambda p: F.when(trend, p * policy.trend_factor).otherwise(p)
     s, p = F.col("signal"), F.col("prob")
     ok = F.when(s > 0, p >= needed(policy.p_long)).when(s < 0, p >= needed(policy.p_short)).otherwise(True)
     if policy.skip_chop:
         ok = ok & (F.col("regime") != "chop")
-    if policy.require_agreement and {"blend_signal", "blend_prob"} <= set(df.columns):
+    if policy.require_agreement:
         ok = ok & ((s >= 0) | ((F.col("blend_signal") < 0) & (F.col("blend_prob") >= policy.agreement_floor)))
     if policy.min_ev > 0:
         ok = ok & (F.coalesce(F.col("ev"), F.lit(0.0)) >= policy.min_ev)

@@ -13,6 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import read_text, write_text
 
 
 @dataclass
@@ -32,13 +33,11 @@ class Scaler:
         return df.withColumns(made)
 
     def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump(self.__dict__, f)
+        write_text(path, json.dumps(self.__dict__))
 
     @staticmethod
     def load(path: str) -> Scaler:
-        with open(path) as f:
-            return Scaler(**json.load(f))
+        return Scaler(**json.loads(read_text(path)))
 
 
 def fit_scaler(df: DataFrame, columns: list[str], kind: str = "zscore") -> Scaler:
@@ -100,13 +99,11 @@ class Classifier:
 
     def save(self, path: str, sidecar: str) -> None:
         self.model.write().overwrite().save(path)
-        with open(sidecar, "w") as f:
-            json.dump({"columns": self.columns, "labels": self.labels, "calibrators": self.calibrators, "alpha": self.alpha}, f)
+        write_text(sidecar, json.dumps({"columns": self.columns, "labels": self.labels, "calibrators": self.calibrators, "alpha": self.alpha}))
 
     @staticmethod
     def load(path: str, sidecar: str) -> Classifier:
-        with open(sidecar) as f:
-            kept = json.load(f)
+        kept = json.loads(read_text(sidecar))
         return Classifier(RandomForestClassificationModel.load(path), kept["columns"], kept["labels"], {int(k): tuple(v) for k, v in kept["calibrators"].items()}, kept["alpha"])
 
 
@@ -160,10 +157,21 @@ def sharpen(probs: Column, alpha: float = 1.0, floor: float = 1e-6) -> Column:
     return F.transform(raised, lambda p: p / F.aggregate(raised, F.lit(0.0), lambda a, x: a + x))
 
 
-def regime_models(df: DataFrame, columns: list[str], label: str, least: int, forest: Forest = BLENDER_FOREST) -> dict[str, Classifier]:
+def regime_models(df: DataFrame, columns: list[str], label: str, least: int, forest: Forest = BLENDER_FOREST, labels: list[str] | None = None) -> dict[str, Classifier]:
     """A model for each regime with rows enough."""
     counts = {r[0]: r[1] for r in df.groupBy("regime").count().collect()}
-    return {g: fit_forest(df.where(F.col("regime") == g), columns, label, forest) for g, n in sorted(counts.items()) if g is not None and n >= least}
+    return {g: fit_forest(df.where(F.col("regime") == g), columns, label, forest, labels) for g, n in sorted(counts.items()) if g is not None and n >= least}
+
+
+def by_regime(df: DataFrame, model: Classifier, own: dict[str, Classifier], output: str) -> DataFrame:
+    """Adds the probabilities of ``model``'s labels, by the row's regime's own model where it has one."""
+    df = model.probabilities(df, output)
+    chosen = F.col(output)
+    for regime, other in own.items():
+        df = other.probabilities(df, f"__{regime}")
+        probs = F.array(*(F.col(f"__{regime}")[other.labels.index(x)] if x in other.labels else F.lit(0.0) for x in model.labels))
+        chosen = F.when(F.col("regime") == regime, probs).otherwise(chosen)
+    return df.withColumn(output, chosen).drop(*(f"__{r}" for r in own))
 
 
 def pruned_columns(importances: dict[str, float], percentile: float = 20.0) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -14,6 +15,10 @@ from ..config import SplitConfig
 from ..functions.exprs import KEY, TIME, ratio
 
 
+#: Rows of a range of the digest, about.
+RANGE_ROWS = 4096
+
+
 @dataclass(frozen=True)
 class Split:
     """start <= train < train_end, validation_start <= validation < validation_end."""
@@ -93,13 +98,23 @@ def chronological(df: DataFrame, share: float = 0.8) -> DataFrame:
 
 def stratified(df: DataFrame, label: str, share: float = 0.2, seed: int = 42, most: int | None = None) -> DataFrame:
     """Adds held_out: ``share`` of each label's rows (at most its part of ``most``
-    in all) by a seeded digest of symbol and time."""
+    in all) by a seeded digest of symbol and time; rows that repeat both at the cut
+    are all held out. Labels are few: a row for each is broadcast. Rows of a null
+    label aren't held out."""
     rank = F.md5(F.concat_ws("|", KEY, F.date_format(TIME, "yyyy-MM-dd HH:mm:ss"), F.lit(str(seed))))
-    of_label = Window.partitionBy(label)
-    n, total = F.count("*").over(of_label), df.count()
+    total = df.count()
     share = min(share, most / total) if most is not None and total else share
-    order = F.row_number().over(of_label.orderBy(rank))
-    return df.withColumn("held_out", order <= F.floor(n * share))
+    digits = max(1, math.ceil(math.log(max(total / RANGE_ROWS, 1), 16)))
+    ranked = df.select(F.col(label).alias("__of"), rank.alias("__rank")).withColumn("__range", F.substring("__rank", 1, digits))
+    # A label's rows are never sorted in one place: only those of the range that holds the cut are.
+    own = Window.partitionBy("__of")
+    sums = ranked.groupBy("__of", "__range").agg(F.count("*").alias("n"))
+    sums = sums.withColumns({"wanted": F.floor(F.sum("n").over(own) * share), "end": F.sum("n").over(own.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))})
+    edge = sums.where("end >= wanted and end - n < wanted").select("__of", "__range", (F.col("wanted") - F.col("end") + F.col("n")).alias("__rest"))
+    place = F.row_number().over(own.orderBy("__rank"))
+    cuts = ranked.join(edge, ["__of", "__range"]).withColumn("__place", place).where("__place = __rest").select("__of", F.col("__rank").alias("__cut"))
+    kept = df.withColumn("__rank", rank).join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("__of")), "left")  # a row for each label
+    return kept.withColumn("held_out", F.coalesce(F.col("__rank") <= F.col("__cut"), F.lit(False))).drop("__of", "__rank", "__cut")
 
 
 def purged_folds(df: DataFrame, folds: int = 5, gap: int = 0) -> DataFrame:
@@ -125,6 +140,21 @@ def combinatorial_folds(n: int, folds: int = 6, tests: int = 2, gap: int = 0) ->
             yield range(end), [stretch[k] for k in chosen]
 
 
+def combinatorial_assign(df: DataFrame, folds: int = 6, tests: int = 2, gap: int = 0) -> DataFrame:
+    """(bar, choice, part): ``combinatorial_folds`` of each series' own length. Choices are
+    numbered in order of their folds; those without training rows are left out. A
+    list of choices is looked up by each row: there is no join."""
+    chosen = [(k, list(c)) for k, c in enumerate(itertools.combinations(range(folds), tests))]
+    every = F.array(*(F.struct(F.lit(k).alias("choice"), F.array(*(F.lit(f) for f in c)).alias("tests")) for k, c in chosen))
+    size = F.floor(_size() / folds)
+    df = df.withColumns({"__size": size, "__fold": F.least(F.floor(F.col("bar_idx") / F.greatest(size, F.lit(1))), F.lit(folds - 1)).cast("int")})
+    rows = df.withColumn("__c", F.explode(every))
+    first = F.col("__c.tests")[0] * F.col("__size")
+    end = F.when(first > gap, first - gap).otherwise(first)
+    part = F.when(F.array_contains("__c.tests", F.col("__fold")), "test").when(F.col("bar_idx") < end, "train")
+    return rows.where(end > 0).withColumns({"choice": F.col("__c.choice"), "part": part}).where("part is not null").drop("__size", "__fold", "__c")
+
+
 def embargo_periods(horizon: int) -> int:
     return int(horizon * 1.2)
 

@@ -371,3 +371,73 @@ s1 AS (SELECT *, sum(lr) {UPTO} AS nl, sum(sr) {UPTO} AS ns FROM k),
 s2 AS (SELECT *, sum(CASE WHEN sr = 1 THEN 0 ELSE lr END) OVER (PARTITION BY symbol, ns ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sl, sum(sr) OVER (PARTITION BY symbol, nl ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ss FROM s1),
 s3 AS (SELECT *, CASE WHEN lr = 1 AND sl <= 1 THEN 1 ELSE 0 END AS lc, CASE WHEN sr = 1 AND ss <= 1 THEN 1 ELSE 0 END AS sc FROM s2)"""
 Q["module_trendmagic"] = pick(_tmm, "s3", {f"trendmagic_{k}": v for k, v in {"zigzag": "zig", "topvector01": "t", "botvector01": "bo", "price": "close", "hls": "h8", "avg_vec": "va", "topavg": "ta", "botavg": "ba", "topsig": "ts_", "botsig": "bs_", "width": "(ts_ - bs_) / nullif((va + close) / 2, 0)", "long_raw": "lr", "short_raw": "sr", "sectionLongs": "sl", "sectionShorts": "ss", "longCondition": "lc", "shortCondition": "sc", "signal": "CASE WHEN sc = 1 THEN -1 WHEN lc = 1 THEN 1 ELSE 0 END"}.items()}, 5)
+
+# Scoring, splits and summaries
+
+_nov = (
+    SIGNALS
+    + f""", h AS MATERIALIZED (SELECT symbol, bar_idx, (lead(close + 1000, 12) {over()} / nullif(close + 1000, 0) - 1) * signal AS r, signal FROM sig),
+w AS (SELECT symbol, bar_idx, 0 AS free, FALSE AS taken FROM h WHERE FALSE UNION ALL SELECT symbol, bar_idx, CASE WHEN signal <> 0 AND r IS NOT NULL THEN 12 ELSE 1 END, signal <> 0 AND r IS NOT NULL FROM h WHERE bar_idx = 0),
+t AS (SELECT symbol, bar_idx, free, taken FROM w UNION ALL SELECT h.symbol, h.bar_idx, CASE WHEN h.signal <> 0 AND h.r IS NOT NULL THEN 12 ELSE 1 END, h.signal <> 0 AND h.r IS NOT NULL FROM t JOIN h ON h.symbol = t.symbol AND h.bar_idx = t.bar_idx + t.free),
+tr AS MATERIALIZED (SELECT symbol, bar_idx, r AS g, r - 0.0011 AS p, count(*) OVER (PARTITION BY symbol) AS trades FROM t JOIN h USING (symbol, bar_idx) WHERE taken),
+cu AS (SELECT *, product(1 + p) OVER (PARTITION BY symbol ORDER BY bar_idx) AS eq FROM tr),
+dd AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY bar_idx) - 1 AS fall FROM cu),
+isle AS (SELECT *, count(*) FILTER (fall >= 0) OVER (PARTITION BY symbol ORDER BY bar_idx) AS isle FROM dd),
+runs AS (SELECT symbol, max(n) AS max_drawdown_duration, least(min(d), 0) AS max_drawdown FROM (SELECT symbol, isle, count(*) FILTER (fall < 0) AS n, min(fall) AS d FROM isle GROUP BY 1, 2) GROUP BY 1),
+tot AS (SELECT symbol, count(*) AS bars FROM sig GROUP BY 1),
+every AS (SELECT tr.*, bars, max_drawdown, max_drawdown_duration FROM tr JOIN runs USING (symbol) JOIN tot USING (symbol))"""
+)
+_win, _loss = "coalesce(sum(p) FILTER (p > 0), 0)", "-coalesce(sum(p) FILTER (p < 0), 0)"
+_like = lambda c: f"coalesce(avg({c}) / nullif(stddev_samp({c}), 0), 0)"
+_rate = "avg(CAST(p > 0 AS INTEGER))"
+Q["nonoverlap_metrics"] = pick(
+    _nov,
+    "every",
+    {
+        "total_cost": "count(*) * 0.0011", "trade_rate": "count(*) / any_value(bars)", "turnover": "2.0 * count(*) / any_value(bars)", "cumulative_return": "product(1 + p) - 1", "gross_cumulative_return": "product(1 + g) - 1",
+        "gross_mean_return": "avg(g)", "gross_volatility": "coalesce(stddev_samp(g), 0)", "gross_sharpe_like": _like("g"), "mean_return": "avg(p)", "volatility": "coalesce(stddev_samp(p), 0)", "sharpe_like": _like("p"), "win_rate": _rate,
+        "cost_impact": "product(1 + g) - product(1 + p)", "avg_trade_return": "avg(p)", "profit_factor": f"CASE WHEN {_win} = 0 AND {_loss} = 0 THEN 0 ELSE {_win} / nullif({_loss}, 0) END",
+        "expectancy": f"{_rate} * coalesce(avg(p) FILTER (p > 0), 0) + (1 - {_rate}) * coalesce(avg(p) FILTER (p < 0), 0)", "avg_win": "coalesce(avg(p) FILTER (p > 0), 0)", "avg_loss": "coalesce(avg(p) FILTER (p < 0), 0)",
+        "gross_profit": _win, "gross_loss": _loss, "max_drawdown": "any_value(max_drawdown)",
+    },
+    5,
+    "symbol, count(*) AS trade_count, any_value(max_drawdown_duration) AS max_drawdown_duration",
+    "GROUP BY symbol",
+)
+Q["ev_details"] = pick(trade_log(), "log", {"prob": "prob", "ev": "prob - 0.75", "future_return": "future_return"}, keys="symbol, bar_idx, regime, CASE WHEN signal > 0 THEN 'long' ELSE 'short' END AS side", where="WHERE signal <> 0")
+_entries = "count(*) FILTER (position <> 0 AND turn <> 0)"
+Q["cost_sanity"] = pick(trade_log(), "log", {"total_cost": "sum(cost)", "avg_cost": f"sum(cost) / nullif({_entries}, 0)", "raw_total": "sum(pnl_raw)", "net_total": "sum(pnl)"}, 5, f"symbol, {_entries} AS entries, count(*) FILTER (position <> 0) AS trade_bars", "GROUP BY symbol")
+Q["agreement_gating"] = pick(SIGNALS, "sig", {"final_signal": "CASE WHEN prob - 0.7 < 0.02 THEN 0 WHEN signal = 1 AND regime = 'trend_up' AND prob >= 0.6 * 0.8 THEN 1 WHEN signal = -1 AND regime = 'trend_down' AND prob >= 0.6 * 0.8 AND close < open AND prob / 2 >= 0.25 THEN -1 ELSE 0 END"})
+Q["ev_summary"] = pick(SIGNALS + ", e AS (SELECT *, CASE WHEN prob > 0.6 THEN prob - 0.75 END AS ev FROM sig)", "e", {"mean_ev": "avg(ev)", "median_ev": "quantile_cont(ev, 0.5)"}, keys="count(ev) AS n, count(*) FILTER (ev > 0) AS n_positive, count(*) FILTER (signal <> 0) AS n_signals")
+Q["probability_histogram"] = f"WITH {SIGNALS}, k AS (SELECT CASE " + " ".join(f"WHEN prob >= {a} AND prob < {c} THEN {i}" for i, (a, c) in enumerate(zip((0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95), (0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.01), strict=True))) + " END AS bin FROM sig) SELECT bin, count(*) AS count FROM k WHERE bin IS NOT NULL GROUP BY bin"
+_bounded = "least(greatest(prob, 1e-6), 1 - 1e-6)"
+Q["sharpened"] = pick(SIGNALS + f", q AS (SELECT *, pow({_bounded}, 2) AS a, pow(least(greatest(1 - prob, 1e-6), 1 - 1e-6), 2) AS c FROM sig)", "q", {"p_0": "a / (a + c)", "p_1": "c / (a + c)"})
+Q["signal_confusion"] = f"WITH {SIGNALS} SELECT CAST(signal AS VARCHAR) AS label, " + ", ".join(f'count(*) FILTER (coalesce(sign(close - open), 0) = {k}) AS "{k}"' for k in (-1, 0, 1)) + " FROM sig GROUP BY 1"
+Q["regime_counts"] = f"WITH {SIGNALS} SELECT regime, count(*) AS count FROM sig GROUP BY regime"
+Q["stratified_split"] = f"WITH {SIGNALS}, k AS (SELECT symbol, bar_idx, row_number() OVER (PARTITION BY regime ORDER BY md5(symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|42')) AS k, count(*) OVER (PARTITION BY regime) AS n FROM sig) SELECT symbol, bar_idx, k <= floor(n * 0.2) AS held_out FROM k"
+_choices = ", ".join(f"({k}, {a}, {c})" for k, (a, c) in enumerate((a, c) for a in range(6) for c in range(a + 1, 6)))
+Q["combinatorial_folds"] = f"""WITH {BARS}, z AS (SELECT *, count(*) OVER (PARTITION BY symbol) // 6 AS size FROM b),
+c AS (SELECT * FROM (VALUES {_choices}) AS v(choice, f0, f1)),
+p AS (SELECT symbol, choice, bar_idx, least(bar_idx // size, 5) AS fold, f0, f1, CASE WHEN f0 * size > 12 THEN f0 * size - 12 ELSE f0 * size END AS stop FROM z, c),
+q AS (SELECT *, CASE WHEN fold = f0 OR fold = f1 THEN 'test' WHEN bar_idx < stop THEN 'train' END AS part FROM p WHERE stop > 0)
+SELECT symbol, choice, part, count(*) AS n, min(bar_idx) AS first_idx, max(bar_idx) AS last_idx FROM q WHERE part IS NOT NULL GROUP BY ALL"""
+_periods = BARS + """, y AS (SELECT *, CAST(ts >= TIMESTAMP '2024-01-16' AS INTEGER) AS period FROM b),
+lr AS (SELECT *, ln(nullif(close / nullif(lag(close) OVER (PARTITION BY symbol, period ORDER BY ts), 0), 0)) AS log_ret FROM y),
+u AS (SELECT symbol, period, log_ret, count(*) FILTER (period = 0) OVER (PARTITION BY symbol) AS n0, count(*) FILTER (period = 1) OVER (PARTITION BY symbol) AS n1, count(*) FILTER (period = 0) OVER (PARTITION BY symbol ORDER BY log_ret) AS c0, count(*) FILTER (period = 1) OVER (PARTITION BY symbol ORDER BY log_ret) AS c1 FROM lr WHERE log_ret IS NOT NULL)"""
+Q["period_comparison"] = pick(_periods, "u", {"d": "max(abs(c0 / nullif(n0, 0) - c1 / nullif(n1, 0)))"} | {f"{s}_{k}": f"{f}(log_ret) FILTER (period = {k})" for s, f in (("mean", "avg"), ("vol", "stddev_samp")) for k in (0, 1)}, 5, "symbol, n0, n1", "GROUP BY symbol, n0, n1")
+_rs = {}
+for _c in ("open", "volume"):
+    for _n in (5, 20):
+        _rs |= {f"{_c}_mean_{_n}": roll("avg", _c, _n, 1), f"{_c}_std_{_n}": roll("stddev_samp", _c, _n, 1), f"{_c}_max_{_n}": roll("max", _c, _n, 1), f"{_c}_min_{_n}": roll("min", _c, _n, 1), f"{_c}_slope_{_n}": slope(_c, _n), f"{_c}_zscore_{_n}": z(_c, _n, 1)}
+Q["rolling_stats"] = pick(BARS, "b", _rs, 5)
+Q["array_drawdown"] = pick(BASE, "x", {"worst": "min(drawdown)"}, keys="symbol", where="GROUP BY symbol")
+_start, _step = smooth({f"atr_{n}": ("tr", 1 / n) for n in (7, 14, 21)})
+Q["atr_share"] = pick(f"{BASE}, {recursion('e', 'x', _start, _step)}", "e JOIN b USING (symbol, bar_idx)", {f"atr_pct_{n}": f"CASE WHEN bar_idx >= {n - 1} THEN atr_{n} / nullif(close, 0) END" for n in (7, 14, 21)})
+_prices = ("open", "high", "low", "close")
+_some = lambda x: f"CAST(count(*) FILTER ({x}) > 0 AS INTEGER)"
+_errors = " + ".join([_some("NOT (high >= low AND high >= open AND high >= close AND low <= open AND low <= close AND volume >= 0)"), _some("step = 0"), *(_some(f"{c} IS NULL OR isnan({c}) OR isinf({c})") if w else _some(f"{c} < 0") for c in _prices for w in (1, 0))])
+_warnings = " + ".join([_some("step > 3 * median_step"), _some("step > 10 * median_step"), _some("volume = 0"), *(_some(f"{c} = 0") for c in _prices)])
+_qual = f"""{BARS}{_lr}, st AS (SELECT *, date_diff('second', lag(ts) {over()}, ts) AS step, (log_ret - avg(log_ret) OVER (PARTITION BY symbol)) / nullif(stddev_samp(log_ret) OVER (PARTITION BY symbol), 0) AS zs FROM lr),
+md AS (SELECT symbol, quantile_cont(step, 0.5) AS median_step FROM st GROUP BY 1),
+ct AS (SELECT symbol, {_errors} AS errors, {_warnings} AS warnings, count(*) FILTER (abs(zs) > 5) / count(*) AS outlier_rate FROM st JOIN md USING (symbol) GROUP BY symbol)"""
+Q["quality_score"] = pick(_qual, "ct", {"errors": "errors", "warnings": "warnings", "outlier_rate": "outlier_rate", "score": "greatest(0, 100 - 10 * errors - 2 * warnings - least(1000 * outlier_rate, 20))"}, keys="symbol")

@@ -466,6 +466,97 @@ def all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_returns(small(signals(spark, sf_dir))).select("symbol", "ts", "pnl")
 
 
+@query
+def nonoverlap_metrics(spark, sf_dir):
+    trades = greedy_trades(small(signals(spark, sf_dir)).select("symbol", "ts", "bar_idx", "close", "signal"), "signal", 12)
+    found = B.nonoverlap_return_metrics(trades)
+    return rounded(found, ["symbol", "trade_count", "max_drawdown_duration"], [c for c in found.columns if c not in ("symbol", "trade_count", "max_drawdown_duration")], 5)
+
+
+@query
+def ev_details(spark, sf_dir):
+    found = B.ev_details(B.with_returns(signals(spark, sf_dir).withColumn("ev", F.col("prob") - 0.75)))
+    return rounded(found, ["symbol", "bar_idx", "regime", "side"], ["prob", "ev", "future_return"])
+
+
+@query
+def cost_sanity(spark, sf_dir):
+    return rounded(B.cost_sanity(log(spark, sf_dir)), ["symbol", "entries", "trade_bars"], ["total_cost", "avg_cost", "raw_total", "net_total"], 5)
+
+
+@query
+def agreement_gating(spark, sf_dir):
+    """Shorts need a second signal that agrees; all need an expected value."""
+    df = signals(spark, sf_dir).withColumns({"blend_signal": F.signum(F.col("close") - F.col("open")).cast("int"), "blend_prob": F.col("prob") / 2, "ev": F.col("prob") - 0.7})
+    return of_bars(G.gate(df, Policy(short_cap=1.0, min_ev=0.02)), ["final_signal"])
+
+
+@query
+def ev_summary(spark, sf_dir):
+    df = signals(spark, sf_dir).withColumns({"ev": F.when(F.col("prob") > 0.6, F.col("prob") - 0.75), "final_signal": F.col("signal")})
+    return rounded(G.ev_summary(df), ["n", "n_positive", "n_signals"], ["mean_ev", "median_ev"])
+
+
+@query
+def probability_histogram(spark, sf_dir):
+    return M.probability_histogram(signals(spark, sf_dir), "prob")
+
+
+@query
+def sharpened(spark, sf_dir):
+    df = signals(spark, sf_dir).withColumn("s", M.sharpen(F.array(F.col("prob"), 1 - F.col("prob")), 2.0))
+    return of_bars(df, {"p_0": F.col("s")[0], "p_1": F.col("s")[1]})
+
+
+@query
+def signal_confusion(spark, sf_dir):
+    df = signals(spark, sf_dir).withColumn("predicted", F.signum(F.col("close") - F.col("open")).cast("int").cast("string"))
+    return M.confusion(df, "signal", "predicted", ["-1", "0", "1"])
+
+
+@query
+def regime_counts(spark, sf_dir):
+    return B.value_counts(signals(spark, sf_dir), "regime")
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return W.stratified(signals(spark, sf_dir), "regime").select("symbol", "bar_idx", "held_out")
+
+
+@query
+def combinatorial_folds(spark, sf_dir):
+    df = W.combinatorial_assign(S.hourly_bars(spark, sf_dir), 6, 2, 12)
+    return df.groupBy("symbol", "choice", "part").agg(F.count("*").alias("n"), F.min("bar_idx").alias("first_idx"), F.max("bar_idx").alias("last_idx"))
+
+
+@query
+def period_comparison(spark, sf_dir):
+    bars = S.hourly_bars(spark, sf_dir)
+    first = F.col("ts") < datetime(2024, 1, 16)
+    found = T.compare_periods(bars.where(first), bars.where(~first))
+    return rounded(found, ["symbol", "n0", "n1"], ["d", "mean_0", "mean_1", "vol_0", "vol_1"], 5)
+
+
+@query
+def rolling_stats(spark, sf_dir):
+    stats = X.rolling_stats(["open", "volume"])
+    return of_bars(S.hourly_bars(spark, sf_dir).withColumns(stats), list(stats), 5)
+
+
+@query
+def array_drawdown(spark, sf_dir):
+    """The deepest fall of closes themselves, by series."""
+    df = base(spark, sf_dir)
+    return rounded(df.groupBy("symbol").agg(F.min("drawdown").alias("worst")), ["symbol"], ["worst"])
+
+
+@query
+def atr_share(spark, sf_dir):
+    kernels = ["atr_7", "atr_14", "atr_21"]
+    return of_bars(run_kernels(S.hourly_bars(spark, sf_dir), kernels), {f"atr_pct_{k[4:]}": E.ratio(k, "close") for k in kernels})
+
+
 @query
 def bootstrap_equity(spark, sf_dir):
     return T.bootstrap_summary(T.bootstrap(all_series(spark, sf_dir), key="symbol"), keys=("symbol",))

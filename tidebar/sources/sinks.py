@@ -35,8 +35,35 @@ def cached_features(spark: SparkSession, bars: DataFrame, config: FeatureConfig,
 def write_json(record: object, path: str) -> None:
     """A record on the driver: manifest, metrics, feature list."""
     value = dataclasses.asdict(record) if dataclasses.is_dataclass(record) else record  # type: ignore[call-overload]
-    with open(path, "w") as f:
-        json.dump(value, f, indent=2, sort_keys=True, default=str)
+    write_text(path, json.dumps(value, indent=2, sort_keys=True, default=str))
+
+
+def _store(path: str):
+    spark = SparkSession.builder.getOrCreate()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark, p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(path: str, text: str) -> None:
+    """A small file in any store that Spark knows."""
+    _, p, fs = _store(path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(path: str) -> str:
+    spark, p, fs = _store(path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def run_log(spark: SparkSession, path: str) -> list[dict]:
+    """The records of ``append_run``, in no order."""
+    return [json.loads(r.value) for r in spark.read.text(path).collect()]
 
 
 def append_run(spark: SparkSession, record: dict, path: str) -> None:
