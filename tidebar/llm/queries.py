@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +50,8 @@ FROM doc LEFT JOIN hit_word USING (r) LEFT JOIN hit_item USING (r)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # no other query needs it
+
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path(TOKENIZER), Workspace(spark, "op2").path("cache"), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
