@@ -285,14 +285,14 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     sketch = work.materialize(sketch_documents(docs, id_col, text_col, shingle), "sketch")
     n = sketch.count()
     classes = work.materialize(
-        sketch.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes", n
+        sketch.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes", n, wide=True
     )
     banded = classes.select("sid", "n_shingles", F.explode("bands").alias("key"))
     # Aggregates are written before they are joined: else Spark can't split a hot key's rows.
     buckets = work.materialize(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", n * REGISTERS // ROWS // 2)
     n_buckets, n_members = buckets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     members = work.materialize(banded.join(buckets.select("key"), "key"), "members", n_members)
-    active = work.materialize(classes.join(members.select("sid").distinct(), "sid").select("sid", "row_key", "n_shingles", "registers"), "active", n)
+    active = work.materialize(classes.join(members.select("sid").distinct(), "sid").select("sid", "row_key", "n_shingles", "registers"), "active", n, wide=True)
     n_active = active.count()
 
     wanted = active.select("sid", "row_key")
@@ -300,7 +300,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key")).join(wanted, "row_key").select("sid", "text")
     sets = append_from_text(texts, "text", [StructField("own", BinaryType()), StructField("hashes", BinaryType())], lambda c: _sets_batch(c, shingle), ["sid"])
-    sets = work.materialize(sets.where("sid = own").select("sid", "hashes").dropDuplicates(["sid"]), "sets", n_active)
+    sets = work.materialize(sets.where("sid = own").select("sid", "hashes").dropDuplicates(["sid"]), "sets", n_active, wide=True)
 
     centres = members.groupBy("key").agg(F.min("sid").alias("b"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid")).alias("other"))
     stars = members.join(work.materialize(centres, "centres", n_buckets), "key")

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _scopes: list[list] = []
-#: Rows of a file, where a table's rows are known to be bounded: small tables are written in few files.
+#: Rows of a file, where a table's rows are known to be bounded: small tables are written in few
+#: files. For rows of some 40 bytes; wide ones are in files of WIDE times fewer.
 FILE_ROWS = 50_000
+WIDE = 16
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +49,10 @@ class Workspace:
     def path(self, name: str = "") -> str:
         return f"{self.root}/{name}".rstrip("/")
 
-    def materialize(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    def materialize(self, df: DataFrame, name: str, rows: int | None = None, wide: bool = False) -> DataFrame:
         """``rows``: a bound of its rows, for tables made behind a shuffle."""
         if rows is not None:
-            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+            df = df.coalesce(max(1, -(-rows * (WIDE if wide else 1) // FILE_ROWS)))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
