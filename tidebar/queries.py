@@ -590,7 +590,7 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rf_regime(spark, sf_dir):
     df = W.chronological(model_rows(spark, sf_dir))
-    model = M.fit_forest(df.where("part = 'train'"), MODEL_COLUMNS, "regime", SMALL_FOREST)
+    model = M.fit_forest(df.where("part = 'train'"), MODEL_COLUMNS, "regime", M.REGIME_FOREST)
     return M.accuracy(model.predict(df), "regime", "predicted", ["part"])
 
 
