@@ -9,7 +9,7 @@ from .decontaminate import contamination
 from .labelled import held_out_fold
 from .language import identify_language
 from .licenses import scan_licenses
-from .linededup import drop_repeated_lines
+from .linededup import CLAUSES, LEAST_CLAUSES, drop_repeated_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .neighbours import nearest
@@ -133,22 +133,25 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, whole)) AS I
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ends=CLAUSES, least=LEAST_CLAUSES)
     return left.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
 OP8_SQL = r"""
-WITH doc AS (SELECT doc_id, text, md5(text) AS digest, string_split(text, chr(10)) AS lines FROM documents),
-line AS (SELECT doc_id, digest, unnest(range(0, len(lines))) AS i, trim(unnest(lines), ' ') AS t FROM (SELECT DISTINCT doc_id, digest, lines FROM doc WHERE text IS NOT NULL)),
+WITH doc AS (
+  SELECT doc_id, text, md5(text) AS digest,
+         string_split(regexp_replace(regexp_replace(text, '([.,;:!?]) ', '\1<|cut|> ', 'g'), '\n', '<|cut|>' || chr(10), 'g'), '<|cut|>') AS lines
+  FROM documents),
+line AS (SELECT doc_id, digest, unnest(range(0, len(lines))) AS i, trim(replace(unnest(lines), chr(10), ''), ' ') AS t FROM (SELECT DISTINCT doc_id, digest, lines FROM doc WHERE text IS NOT NULL)),
 win AS (
   SELECT doc_id, digest, i AS first, lead(i, 2) OVER w AS last, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS win
   FROM line WHERE t <> '' WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, digest, first) AS k FROM win WHERE last IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, digest, first) AS k FROM win WHERE last IS NOT NULL AND length(win) >= 100),
 covered AS (SELECT DISTINCT doc_id, digest, unnest(range(first, last + 1)) AS i FROM ranked WHERE k > 1),
 cut AS (SELECT doc_id, digest, list(i) AS gone FROM covered GROUP BY doc_id, digest)
 SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        CASE WHEN gone IS NULL THEN d.digest
-            ELSE md5(coalesce(array_to_string(list_filter(list_transform(range(0, len(lines)), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE lines[i + 1] END), lambda x: x IS NOT NULL), chr(10)), '')) END AS text_md5
+            ELSE md5(substr(coalesce(array_to_string(list_filter(list_transform(range(0, len(lines)), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE lines[i + 1] END), lambda x: x IS NOT NULL), ''), ''), CASE WHEN list_contains(gone, 0) THEN 2 ELSE 1 END)) END AS text_md5
 FROM doc d LEFT JOIN cut c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.digest = c.digest
 """
 
