@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.decontaminate import drop_contaminated
 from tidebar.llm.language import UNKNOWN, identify_language
-from tidebar.llm.linededup import drop_repeated_lines
+from tidebar.llm.linededup import CLAUSES, LEAST_CLAUSES, drop_repeated_lines
 from tidebar.llm.neardup import keep_one_of_each
 from tidebar.llm.queries import mix_of
 from tidebar.llm.store import Workspace, read_table, scratch
@@ -29,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: later copies of repeated lines are cut; n_chars follows."""
-    left = drop_repeated_lines(docs.select(*COLUMNS))
+    """Operator 8: later copies of repeated clauses are cut, three and 100 characters at least; n_chars follows."""
+    left = drop_repeated_lines(docs.select(*COLUMNS), ends=CLAUSES, least=LEAST_CLAUSES)
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*COLUMNS)
 
