@@ -32,7 +32,7 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int, ends:
     A document's windows are made as one array and only they are exploded, so a
     text's memory grows with its lines."""
     numbered = F.transform(F.split(F.col(text_col), ends), lambda line, i: F.struct(i.alias("i"), F.trim(line).alias("t")))
-    lines = docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("digest"), F.filter(numbered, lambda x: x.t != "").alias("lines")).where(F.size("lines") >= window)
+    lines = docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("digest"), F.filter(numbered, lambda x: x.t != "").alias("lines"))
     n = F.greatest(F.size("lines") - window + 1, F.lit(0))
     shifted = F.arrays_zip(*(F.slice("lines", F.lit(k + 1), n).alias(f"l{k}") for k in range(window)))
 
@@ -43,7 +43,8 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, window: int, ends:
         return F.struct(x.first, x.last, F.xxhash64(x.t, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), x.t).alias("h2"))
 
     long = F.filter(F.transform(shifted, joined), lambda x: F.char_length(x.t) >= least)
-    return lines.select("id", "digest", F.transform(long, hashed).alias("windows")).select("id", "digest", F.inline("windows"))
+    # Exploded as an expression: for a column Spark would add a filter that makes all windows again.
+    return lines.select("id", "digest", F.inline(F.transform(long, hashed)))
 
 
 def _masks(later: DataFrame) -> DataFrame:
