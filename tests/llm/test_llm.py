@@ -452,6 +452,31 @@ def test_line_dedup_cases(spark):
     assert drop_repeated_lines(crowded(spark, rows).where("false")).count() == 0
 
 
+def test_line_dedup_by_clauses_against_brute_force(spark, sf_dir):
+    """Lines that end with clauses: what is left equals a plain walk over the documents."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text").distinct().collect())
+    rows += [(10**9, "Intro one. " + rows[0][1][:400] + " end"), (10**9 + 1, ", . ;\n\n: "), (10**9 + 2, "")]
+    rows.sort(key=lambda r: (r[0], hashlib.md5(r[1].encode()).hexdigest()))
+    seen, want = set(), {}
+    for key, text in rows:
+        ends = [m.start() for m in re.finditer(r"\n|(?<=[.,;:!?]) ", text)]
+        pieces = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]  # each with the end before it
+        bare = [(x[1:] if i else x).strip(" ") for i, x in enumerate(pieces)]
+        at = [i for i, x in enumerate(bare) if x]
+        gone = set()
+        for a, _, c in zip(at, at[1:], at[2:], strict=False):
+            found = "\n".join(bare[i] for i in range(a, c + 1) if bare[i])
+            if len(found) >= linededup.LEAST_CLAUSES:
+                if found in seen:
+                    gone.update(range(a, c + 1))
+                seen.add(found)
+        left = "".join(x for i, x in enumerate(pieces) if i not in gone)
+        want[(key, len(pieces), len(gone), left[1:] if 0 in gone else left)] = 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = drop_repeated_lines(docs, ends=linededup.CLAUSES, least=linededup.LEAST_CLAUSES).select("doc_id", "n_lines", "n_removed", "text").collect()
+    assert {tuple(r) for r in got} == set(want) and sum(r.n_removed for r in got) > 0
+
+
 def test_line_dedup_of_very_long_texts(spark):
     """Texts of 100,000 distinct lines that share 1,000, made where they are read."""
     line = lambda i: F.concat(F.lit("line "), F.when((F.col("id") == 2) & (i >= 1000) & (i < 2000), i).otherwise(i + F.col("id") * 100_000).cast("string"))
